@@ -116,29 +116,33 @@ def _merge(fields: list[str]):
             yield from emit(both, mask, "changed", "_from", "revision", [[f for f, u in zip(fields, row) if u] for row in zip(*flags)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last row so far
+        held: pa.Table | None = None  # the last row compared so far and the row after it, which a repeat may yet replace
+        begun = False
         yes, no = pa.chunked_array([pa.array([True])]), pa.chunked_array([pa.array([False])])
+
+        def ready(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows and not begun:
+                yield from ends(rows.slice(0, 1), yes, no)
+            if rows.num_rows > 1:
+                yield from pairs(rows)
+
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            if not rows.num_rows:
-                continue
-            fresh = held is None
             if held is not None:
                 rows = pa.concat_tables([held, rows])
-            if rows.num_rows > 1:  # of repeats the last stays
-                stays = pa.chunked_array([*some(differs(rows.slice(0, rows.num_rows - 1), rows.slice(1), at)).chunks, pa.array([True])])
-                begun = held is not None and not stays[0].as_py()
-                rows = rows.filter(stays)
-                if begun and held is not None and rows.num_rows == 0:
-                    continue
+            n = rows.num_rows
+            if not n:
+                continue
+            if n > 1:  # of repeats the last stays
+                rows = rows.filter(pa.chunked_array([*some(differs(rows.slice(0, n - 1), rows.slice(1), at)).chunks, pa.array([True])]))
+                n = rows.num_rows
             rows = rows.combine_chunks()
-            if fresh:
-                yield from ends(rows.slice(0, 1), yes, no)
-            if rows.num_rows > 1:
-                yield from pairs(rows)
-            held = rows.slice(rows.num_rows - 1)
+            yield from ready(rows.slice(0, n - 1))
+            begun |= n > 1
+            held = rows.slice(max(0, n - 2))
         if held is not None:
-            yield from ends(held, no, yes)
+            yield from ready(held)
+            yield from ends(held.slice(held.num_rows - 1), no, yes)
 
     return run
 
