@@ -6,23 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, mojibake, packing, quantiles
+from graphloom.llm.syntax import files as syntax
 from graphloom.session import materialize, table
 
 SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def _daily(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.summarize(quantiles.calls_once(table(spark, d, "calls")), ["tool", "phase", "day"], "elapsed_ms")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = syntax.invalid_files(syntax.current_files(table(spark, d, "files")), table(spark, d, "source_texts"))
+    return found.select(F.col("id").alias("file_id"))
 
 
-def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.combine(_daily(spark, d), ["tool", "phase"]), ["tool", "phase"], SHARES)
+def p2_damage(spark: SparkSession, d: str) -> DataFrame:
+    found = syntax.invalid_files(syntax.current_files(table(spark, d, "files")), table(spark, d, "source_texts"))
+    return found.select(F.col("id").alias("file_id"), "project_id", "path", "syntax", "cost", "damage", "line", "exact")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(materialize(syntax.current_files(table(spark, d, "files"))), table(spark, d, "source_texts"))
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.summarize(quantiles.calls_once(table(spark, d, "calls")), ["tool", "phase", "day"], "elapsed_ms")
 
 
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(_daily(spark, d), ["tool", "phase", "day"], SHARES)
 
 
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.percentiles(quantiles.combine(_daily(spark, d), ["tool", "phase"]), ["tool", "phase"], SHARES)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -39,7 +54,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id", "restored", "fully", "steps")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_damage, p2_rates, p4_daily, p4_percentiles, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 def _exact(keys: str) -> str:
