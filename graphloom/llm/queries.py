@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mojibake, packing, quantiles
+from graphloom.llm import bpe, handwritten, mojibake, packing, quantiles
 from graphloom.llm.syntax import files as syntax
 from graphloom.session import materialize, table
 
 SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.find_not_handwritten(table(spark, d, "sample_map"), table(spark, d, "source_texts"), table(spark, d, "upstream_files"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d).select("source_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = syntax.invalid_files(syntax.current_files(table(spark, d, "files")), table(spark, d, "source_texts"))
     return found.select(F.col("id").alias("file_id"))
@@ -54,7 +66,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id", "restored", "fully", "steps")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_damage, p2_rates, p4_daily, p4_percentiles, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_damage, p2_rates, p4_daily, p4_percentiles, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 def _exact(keys: str) -> str:
