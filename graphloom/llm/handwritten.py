@@ -226,16 +226,24 @@ def _sample(files: DataFrame, label: str) -> DataFrame:
 
 
 def _fit(sample: DataFrame, label: str, text: bool) -> Classifier:
+    """Train on a sample: its features are made in parallel, then one task trains, and only the weights reach the driver."""
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [ngrams(edge_comments(x)[1]) for x in batch["content"]] if text else [path_features(x) for x in batch["path"]]
-            yield pd.DataFrame({"project_id": batch["project_id"], "label": batch[label], "features": rows})
+            yield pd.DataFrame({"project_id": batch["project_id"].fillna(""), "label": batch[label], "features": [r.astype(np.int32).tobytes() for r in rows]})
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"project_id": [], "label": [], "features": []}), *batches])
+        got = got.sort_values(["project_id", "label", "features"])
+        held = np.array([zlib.crc32(f"held {p}".encode()) % 1000 < HELD_OUT * 1000 for p in got["project_id"]], dtype=bool)
+        model = train([np.frombuffer(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=bool), held)
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [float(model.bias)], "threshold": [float(model.threshold)]})
 
     columns = ["id", "project_id", label, "content" if text else "path"]
-    got = sample.select(*columns).mapInPandas(features, "project_id string, label boolean, features array<int>").toPandas()
-    got = got.sort_values(["project_id", "label"], kind="stable")
-    held = np.array([zlib.crc32(f"held {p}".encode()) % 1000 < HELD_OUT * 1000 for p in got["project_id"]], dtype=bool)
-    return train([np.asarray(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=bool), held)
+    rows = sample.select(*columns).mapInPandas(features, "project_id string, label boolean, features binary").repartition(1)
+    r = rows.mapInPandas(fit, "weights binary, bias double, threshold double").first()
+    return Classifier(np.frombuffer(bytes(r["weights"]), dtype=np.float32), r["bias"], r["threshold"])
 
 
 def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
