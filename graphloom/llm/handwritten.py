@@ -88,7 +88,7 @@ def layout(code: str) -> str | None:
     words = [w for w in _WORDS.findall(bare) if w[0].isalnum() or w[0] == "_"]
     names = sum(not w[0].isdigit() for w in words)
     literal = len(code) - len(_STRING.sub("", code)) + sum(len(w) for w in words if w[0].isdigit())
-    if len(code) > 150 and literal > 0.4 * len(code) and (len(words) and names <= max(4, 0.12 * len(words)) or names <= 8 and literal > 0.7 * len(code)):
+    if len(code) > 150 and literal > 0.3 * len(code) and (len(words) and names <= max(4, 0.12 * len(words)) or names <= 8 and literal > 0.7 * len(code)):
         return "data"
     long = sum(len(x) for x in bare.split("\n") if len(x) > 250)
     if long > 0.6 * len(bare) and len(re.findall(r"[{}()\[\];=]", bare)) > 0.06 * len(bare):

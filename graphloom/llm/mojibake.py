@@ -88,6 +88,7 @@ SPACE, ASCII, LOWER, UPPER, CYR_LOWER, CYR_UPPER, CJK, KANA, OTHER, DASH, OPEN,
 # Letters with marks that European languages write in running text, and signs.
 _LETTERS = set("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœšžąćęłńśźżčďěňřťůőűğışțăș")
 _QUOTES_OPEN, _QUOTES_CLOSE = set("„«¿¡‹"), set("”’»›…“‘")
+_CYR_RARE = set("фщъэюцхжйшчё")
 _CYR = set("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ")
 
 
@@ -99,24 +100,26 @@ def kind(c: str) -> tuple[int, float]:
         return (SPACE, 0.0) if c == " " else (BAD, 6.0) if o < 32 and c not in "\t\n\r" else (ASCII, 0.0)
     if o < 160 or o == 0xFFFD or 0xE000 <= o < 0xF900 or 0xD800 <= o < 0xE000:
         return BAD, 6.0
+    if c in "µμ":
+        return SIGN, 0.8
     if c.lower() in _LETTERS or c in "ªº":
         return (LOWER if c.islower() or c in "ßªº" else UPPER), 1.0
     if c.lower() in _CYR:
-        return (CYR_LOWER if c.islower() else CYR_UPPER), 1.0
+        return (CYR_LOWER if c.islower() else CYR_UPPER), 1.3 if c.lower() in _CYR_RARE else 1.0
     if 0x400 <= o < 0x530:
         return ODD_CYR, 3.0
     if 0x3041 <= o <= 0x30FF:
-        return KANA, 0.7
+        return KANA, 1.2
     if 0x3400 <= o <= 0x9FFF:
         common = False
         for name, low, high in (("gb2312", 0xB0, 0xD7), ("euc_jp", 0xB0, 0xCF), ("big5", 0xA4, 0xC6)):
             data = _encode(c, name)
             common = common or data is not None and len(data) == 2 and low <= data[0] <= high
-        return (CJK, 1.0 if common else 3.5)
+        return (CJK, 2.0 if common else 4.5)  # as much as the two letters that the same bytes could be
     if 0xAC00 <= o <= 0xD7A3:
-        return HANGUL, 1.2
+        return HANGUL, 2.0
     if 0x3000 <= o <= 0x303F or 0xFF01 <= o <= 0xFF5E or o in (0xFFE5,):
-        return KANA, 0.8
+        return KANA, 1.0
     if 0xFF61 <= o <= 0xFF9F:
         return RARE, 3.0
     if 0x2500 <= o <= 0x259F:
@@ -133,7 +136,7 @@ def kind(c: str) -> tuple[int, float]:
     if category in ("Cn", "Co", "Cs"):
         return BAD, 6.0
     if category in ("Mn", "Me", "Mc", "Cf"):
-        return MARK, 0.6
+        return MARK, 0.6 if category == "Cf" or 0xFE00 <= o <= 0xFE0F else 1.6
     if category[0] == "L":
         return (RARE, 2.5) if o < 0x370 or 0x250 <= o < 0x300 else (OTHER, 1.2)
     return SIGN, 1.5
@@ -152,6 +155,8 @@ def _between(a: int, x: str, b: int, y: str) -> float:
         extra += 2.5  # a capital within a word
     if a in _LATIN and b in _LATIN:
         extra += 0.7
+    if a == CYR_UPPER and b == CYR_UPPER:
+        extra += 0.15
     if a in _CYRILLIC and letter_b or letter_a and b in _CYRILLIC:
         extra += 4.0
     if y in "ъыь" and a not in _CYRILLIC:
@@ -168,6 +173,8 @@ def _between(a: int, x: str, b: int, y: str) -> float:
         extra += 1.5
     if a == CJK and by or ax and b == CJK:
         extra += 0.4
+    if a == HANGUL and by or ax and b == HANGUL:
+        extra += 0.9
     for letter, ascii_, sign, what in ((a, ax, b, y), (b, by, a, x)):
         if sign == SIGN and (letter in _LATIN or letter in _CYRILLIC or ascii_ and what not in "²³°™®©µ±\xa0"):
             extra += 1.5 if ascii_ or what == "\xa0" else 2.5  # a sign beside a letter
@@ -197,7 +204,7 @@ def _pair(x: str, y: str) -> tuple[float, bool]:
     joint = _between(a, x, b, y) if a != SPACE and (a != ASCII or b != ASCII) else 0.0
     if len(_pairs) >= REMEMBERED:
         _pairs.clear()
-    _pairs[x, y] = got = (own + joint, own >= 2.0 or joint >= 1.0)
+    _pairs[x, y] = got = (own + joint, own >= 2.5 or joint >= 1.0)
     return got
 
 
@@ -210,9 +217,13 @@ def cost(text: str) -> float:
 
 
 def odd(text: str) -> bool:
-    """Whether characters of text stand as they hardly do in a rightly decoded one."""
+    """Whether characters of text stand as they hardly do in a rightly decoded one, or too many that are seldom do."""
     get = _pairs.get
-    return any([(get(p) or _pair(*p))[1] for p in zip(" " + text, text)])
+    pairs = [get(p) or _pair(*p) for p in zip(" " + text, text)]
+    if any([x for _, x in pairs]):
+        return True
+    n = sum([c > "\x7f" for c in text])
+    return n >= 3 and max(text) < "\u3000" and sum([x for x, _ in pairs]) >= 1.5 * n
 
 
 _ENTITY = re.compile(r"&(?:#\d{2,5}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});")
@@ -239,6 +250,23 @@ def _steps(text: str) -> Iterator[tuple[str, str, bool]]:
                     yield got, f"{wrong}>utf-8", False
 
 
+@functools.cache
+def _japanese(c: str) -> bool:
+    data = _encode(c, "euc_jp")
+    return data is not None and len(data) == 2 and data[0] <= 0xCF
+
+
+def _lone(text: str) -> float:
+    """What a found text costs as a whole: a single Chinese, Japanese or Korean character is made by chance rather than
+    written, and with kana stand the characters that Japanese uses."""
+    if max(text, default="") < "\u3000":
+        return 0.0
+    extra = 2.0 if sum(kind(c)[0] in _CHINESE for c in text) == 1 else 0.0
+    if any("\u3041" <= c <= "\u30ff" for c in text):
+        extra += 1.5 * sum("\u3000" < c <= "\u9fff" and not _japanese(c) for c in text)
+    return extra
+
+
 def restore(text: str, depth: int = DEPTH) -> tuple[str, float, str]:
     """(cheapest reachable text, how much cheaper it is, the steps to it)."""
     start = cost(text)
@@ -253,7 +281,7 @@ def restore(text: str, depth: int = DEPTH) -> tuple[str, float, str]:
             if (key := hash(got)) in visited:
                 continue
             visited.add(key)
-            priced = cost(got) + STEP * (steps + 1)
+            priced = cost(got) + STEP * (steps + 1) + _lone(got)
             way = f"{path} {step}".strip()
             if priced < best[0]:
                 best = (priced, got, way)
@@ -262,7 +290,7 @@ def restore(text: str, depth: int = DEPTH) -> tuple[str, float, str]:
     return best[1], start - best[0], best[2]
 
 
-_STRETCH = re.compile(r"[^\s\x00-\x20]*[^\x00-\x7f][^\t\n\r\x0b\x0c ]*")
+_STRETCH = re.compile(r"[^\t\n\r\x0b\x0c ]+")
 # Marks that enclose a quotation.
 _QUOTES = [('"', '"'), ("'", "'"), ("`", "`"), ("“", "”"), ("„", "“”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‹", "›"), ("「", "」"), ("『", "』"), ("”", "”"), ("(", ")")]
 _QUOTED = [re.compile(rf"(?<![\w{re.escape(a)}]){re.escape(a)}(?=([^\s{re.escape(a if a == b else '')}][^\n{re.escape(b)}]{{0,39}})(?<!\s)[{re.escape(b)}](?![\w{re.escape(b)}]))") for a, b in _QUOTES]
@@ -300,6 +328,8 @@ def _stretches(text: str) -> Iterator[tuple[int, int, bool]]:
     spans = [(a, b) for a, b in spans if not text[a:b].isascii() and text.count(" ", a, b) < 3]
     k = 0
     for m in _STRETCH.finditer(text):
+        if m.group().isascii():
+            continue
         start, end = m.span()
         while k < len(spans) and spans[k][1] <= start:
             k += 1
@@ -340,7 +370,7 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
             continue
         stretch = text[a:b]
         before = cost(stretch)
-        options = [(cost(got) + STEP * len(w.split()) / 4, got, w) for w in ways if (got := _apply(stretch, w)) is not None]
+        options = [(cost(got) + STEP * len(w.split()) / 4 + _lone(got), got, w) for w in ways if (got := _apply(stretch, w)) is not None]
         if odd(stretch) and (own := _restored(stretch))[1] > 0:
             options.append((before - own[1], own[0], own[2]))
         priced, got, way = min(options, default=(before, stretch, ""))
@@ -353,7 +383,9 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
             last = b
     restored = "".join([*pieces, text[last:]])
     gain = total - STEP * sum(len(w.split()) for w in used)
-    return gain >= GAIN or lost, restored, gain, " | ".join(sorted(used))
+    if gain < GAIN and not lost:
+        return False, text, 0.0, ""
+    return True, restored, gain, " | ".join(sorted(used))
 
 
 def find_garbled(texts: DataFrame) -> DataFrame:
