@@ -66,7 +66,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id", "restored", "fully", "steps")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_damage, p2_rates, p4_daily, p4_percentiles, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_damage, p2_rates, p4_percentiles, p4_daily, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 def _exact(keys: str) -> str:
