@@ -42,7 +42,7 @@ HEADERS = re.compile(r"generated (by|with|from|code|file)|generated-by|@generate
 
 _COMMENT = re.compile(r"(//|/\*|\*|#(?!include|!|pragma|if|define|endif)|--)")
 _WORDS = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
-_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*(?:\"|\\?\Z)|'(?:[^'\\\n]|\\.)*(?:'|\\?\Z)|`(?:[^`\\]|\\.)*`")
 _NOTES = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|(?m:^[ \t]*(?://|#(?!include|define|pragma|if|endif)|--)[^\n]*)|[ \t]//[^\n]*", re.S)
 
 
@@ -102,8 +102,9 @@ def path_giveaway(path: str | None) -> str | None:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Hashes below FEATURES of the 3- to 5-grams of a text, digits being alike. A text of blanks or notes alone has none."""
-    if not _NOTES.sub("", text).strip():
+    """Hashes below FEATURES of the 3- to 5-grams of a text, digits being alike. A text of blanks or notes alone, or of prose, has none."""
+    code = _NOTES.sub("", text)
+    if not code.strip() or len(re.findall(r"[{}()\[\];=]", code)) < 0.015 * len(code):
         return np.zeros(0, np.int32)
     b = np.frombuffer(re.sub(r"\d+", "0", text).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
     found = []
