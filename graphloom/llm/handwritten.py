@@ -96,15 +96,19 @@ def layout(code: str) -> str | None:
     return None
 
 
+def prose(text: str) -> bool:
+    """Whether a text hardly has the marks of code; such a text in a source file is no code to be judged."""
+    return len(re.findall(r"[{}()\[\];=]", text)) < 0.015 * len(text)
+
+
 def path_giveaway(path: str | None) -> str | None:
     parts = (path or "").replace("\\", "/").lower().split("/")
     return "folder" if FOLDERS.intersection(parts[:-1]) else "name" if ENDINGS.search(parts[-1]) else None
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Hashes below FEATURES of the 3- to 5-grams of a text, digits being alike. A text of blanks or notes alone, or of prose, has none."""
-    code = _NOTES.sub("", text)
-    if not code.strip() or len(re.findall(r"[{}()\[\];=]", code)) < 0.015 * len(code):
+    """Hashes below FEATURES of the 3- to 5-grams of a text, digits being alike. A text of blanks or notes alone has none."""
+    if not _NOTES.sub("", text).strip():
         return np.zeros(0, np.int32)
     b = np.frombuffer(re.sub(r"\d+", "0", text).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
     found = []
@@ -282,8 +286,9 @@ def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: Data
     def judge_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = on_text.value
         for batch in batches:
-            scores = [model.score(ngrams(edge_comments(x)[1])) >= model.threshold for x in batch["content"]]
-            yield batch.loc[np.array(scores, dtype=bool), ["sha256"]]
+            codes = [edge_comments(x)[1] for x in batch["content"]]
+            said = [not prose(x) and model.score(ngrams(x)) >= model.threshold for x in codes]
+            yield batch.loc[np.array(said, dtype=bool), ["sha256"]]
 
     def judge_paths(paths: pd.Series) -> pd.Series:
         model = on_path.value
