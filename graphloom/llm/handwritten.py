@@ -255,9 +255,10 @@ def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: Data
     """Included source files that aren't hand-written for their repository: source_id, project_id, path, reason.
 
     sample_map: the current row of an id is the one with the latest delivered_at; its category must be `source`, case and
-    blanks aside, and included true. texts: sha256, content (one row per hash). upstream: content. reason is a giveaway
-    (`copy`, `header`, `data`, `packed`, `folder`, `name`) or a classifier (`text`, `path`). Files without text, or with an
-    empty one, count by their path. All files are judged; only the training samples are bounded.
+    blanks aside, and included true. texts: sha256, content (one row per hash). upstream: content, sha256 if known. reason is
+    a giveaway (`copy`, `header`, `data`, `packed`, `folder`, `name`) or a classifier (`text`, `path`). Exact copies of
+    upstream files have no text and are told by their hash, its case aside. Other files without text, or with an empty one,
+    count by their path. All files are judged; only the training samples are bounded.
     """
     current = latest_per_key(sample_map, ["id"], ["delivered_at"], ["project_id", "path", "category", "included", "sha256"])
     wanted = current.where("included and lower(trim(category)) = 'source'").select("id", "project_id", "path", "sha256")
@@ -272,6 +273,10 @@ def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: Data
     some = texts.where("length(content) > 0").select("sha256", "content").repartition(n, "sha256")
     signals = materialize(text_signals(some.hint("merge").join(needed, "sha256", "left_semi"), upstream))
     files = wanted.join(signals.select("sha256", "signal", F.lit(True).alias("has_text")), "sha256", "left")
+    if "sha256" in upstream.columns:
+        hashes = upstream.where("sha256 is not null").select(F.lower("sha256").alias("_hash")).distinct()
+        files = files.join(hashes.withColumn("_exact", F.lit("copy")), F.lower("sha256") == F.col("_hash"), "left")
+        files = files.withColumn("signal", F.coalesce("_exact", "signal")).drop("_hash", "_exact")
     files = materialize(files.withColumn("has_text", F.coalesce("has_text", F.lit(False))))
 
     # the text classifier: giveaways of any kind against files without; copies and folders' files look like any other

@@ -311,3 +311,10 @@ def test_find_not_handwritten(spark):
     assert {k: got.get(k) for k in ("gen", "copy", "ven", "out", "null", "old")} == {"gen": "header", "copy": "copy", "ven": "folder", "out": None, "null": None, "old": None}
     assert len(got) == 3
     assert handwritten.find_not_handwritten(m.limit(0), t, u).count() == 0
+
+
+def test_exact_copies_by_hash(spark):
+    m = spark.createDataFrame([("a", "p", "lib/a.py", "source", True, "AB"), ("b", "p", "lib/b.py", "source", True, "cd"), ("c", "p", "lib/c.py", "source", True, None)], "id string, project_id string, path string, category string, included boolean, sha256 string").selectExpr("*", "timestamp_ntz'2025-01-01' delivered_at")
+    t = spark.createDataFrame([], "sha256 string, content string")
+    u = spark.createDataFrame([("ab", "x = 1"), ("aB", "x = 1"), (None, "y")], "sha256 string, content string")
+    assert [(r["source_id"], r["reason"]) for r in handwritten.find_not_handwritten(m, t, u).collect()] == [("a", "copy")]
