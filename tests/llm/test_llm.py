@@ -240,6 +240,14 @@ def test_repair_against_all_edits():
     assert seen > 20
 
 
+def test_repair_goes_on_to_the_end():
+    """Many faults in a long text are damage, and markers after them are seen."""
+    text = ("b = (2;\n" + "a = 1;\n" * 60) * 45
+    cost, kind, line, _ = syntax.diagnose(text, "javascript")
+    assert (cost, kind, line) == (45, "damage", 1)
+    assert syntax.diagnose(text + "<<<<<<< HEAD\n", "javascript")[:2] == (46, "conflict")
+
+
 def test_language_by_suffix():
     assert [syntax.language_of(p) for p in ("a/b.PY", "x.hpp", "c\\d.mts", "x.lua", "noext", None, ".py/x")] == ["python", "cpp", "typescript", None, None, None, None]
 
