@@ -240,6 +240,33 @@ def test_repair_against_all_edits():
     assert seen > 20
 
 
+def test_repair_is_least():
+    """The cost is the fewest edits: against all single and double edits, faults far back and faults close together."""
+    g = Chart(Grammar("S = Item*\nItem = A | '(' S2 ')' | A '=' Sum ';'\nS2 = Item (',' Item)*\nSum = A ('+' A)*\n", "S"))
+    ids = [g.g.terminals[n] for n in ["A", "(", ")", ",", "=", ";", "+"]]
+    rng = random.Random(2)
+
+    def edited(t):
+        return {t[:i] + t[i + 1 :] for i in range(len(t))} | {t[:i] + (x,) + t[i + k :] for k in (0, 1) for i in range(len(t) + 1 - k) for x in ids}
+
+    def ok(t):
+        return g.parse(list(t), [False] * len(t)) is None
+
+    costs = []
+    for _ in range(80):
+        t = tuple(rng.choice(ids) for _ in range(rng.randrange(1, 5)))
+        once = edited(t)
+        cost = 0 if ok(t) else 1 if any(map(ok, once)) else 2 if any(ok(y) for x in once for y in edited(x)) else 3
+        got = g.repair(list(t), [False] * len(t))
+        assert got.exact and min(3, got.cost) == cost and len(got.edits) == got.cost
+        costs.append(cost)
+    assert {0, 1, 2, 3} == set(costs)
+    far = "f((a, b, c, d, e, f, g, h, i, j);\n"
+    assert syntax.diagnose("x = 1;\n" * 5 + far.replace("(a", "a") + far * 2, "javascript")[::3] == (2, True)
+    bounded = g.repair(ids[1:] * 9, [False] * 54, work=10)
+    assert not bounded.exact and bounded.cost >= g.repair(ids[1:] * 9, [False] * 54, work=10**7).cost
+
+
 def test_repair_goes_on_to_the_end():
     """Many faults in a long text are damage, and markers after them are seen."""
     text = ("b = (2;\n" + "a = 1;\n" * 60) * 45
