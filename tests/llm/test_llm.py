@@ -240,6 +240,14 @@ def test_repair_against_all_edits():
     assert seen > 20
 
 
+def test_what_python_alone_rejects_has_no_cost(spark):
+    text = "def f(a, a):\n    pass\nf() = 1\n"
+    assert syntax.diagnose(text, "python") == (None, "damage", 3, False)
+    files = spark.createDataFrame([("f", "p", "a.py", "h", "python")], "id string, project_id string, path string, sha256 string, syntax string")
+    r = syntax.invalid_files(files, spark.createDataFrame([("h", text)], "sha256 string, content string")).first()
+    assert (r["id"], r["cost"], r["exact"]) == ("f", None, False)
+
+
 def test_repair_is_least():
     """The cost is the fewest edits: against all single and double edits, faults far back and faults close together."""
     g = Chart(Grammar("S = Item*\nItem = A | '(' S2 ')' | A '=' Sum ';'\nS2 = Item (',' Item)*\nSum = A ('+' A)*\n", "S"))
