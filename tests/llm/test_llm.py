@@ -240,6 +240,16 @@ def test_repair_against_all_edits():
     assert seen > 20
 
 
+@pytest.mark.parametrize("language", ["cpp", "csharp"])
+def test_every_part_of_an_if_is_parsed(language):
+    text = "class A { void f() {\n#if X\n  a();\n#elif Y\n#if Z\n  b();\n#else\n  c();\n#endif\n#else\n  d();\n#endif\n} }" + ";" * (language == "cpp") + "\n#if W\nclass B { }" + ";" * (language == "cpp") + "\n#endif\n"
+    assert syntax.diagnose(text, language)[0] == 0
+    for name in "abcd":
+        assert syntax.diagnose(text.replace(f"{name}();", f"{name}(;"), language)[:2] == (1, "damage"), name
+        assert syntax.diagnose(text.replace("  a();\n", "").replace("  c();\n", "").replace("d();", "d(;"), language)[:2] == (1, "damage")
+        assert syntax.diagnose(text.replace(f"  {name}();", f"<<<<<<< HEAD\n  {name}();"), language)[:2] == (1, "conflict"), name
+
+
 def test_what_python_alone_rejects_has_no_cost(spark):
     text = "def f(a, a):\n    pass\nf() = 1\n"
     assert syntax.diagnose(text, "python") == (None, "damage", 3, False)
