@@ -292,17 +292,31 @@ def restore(text: str, depth: int = DEPTH) -> tuple[str, float, str]:
 
 _STRETCH = re.compile(r"[^\t\n\r\x0b\x0c ]+")
 # Marks that enclose a quotation.
-_QUOTES = [('"', '"'), ("'", "'"), ("`", "`"), ("“", "”"), ("„", "“”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‹", "›"), ("「", "」"), ("『", "』"), ("”", "”"), ("(", ")")]
+_QUOTES = [('"', '"'), ("'", "'"), ("`", "`"), ("“", "”"), ("„", "“”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‹", "›"), ("「", "」"), ("『", "』"), ("”", "”")]
 _QUOTED = [re.compile(rf"(?<![\w{re.escape(a)}]){re.escape(a)}(?=([^\s{re.escape(a if a == b else '')}][^\n{re.escape(b)}]{{0,39}})(?<!\s)[{re.escape(b)}](?![\w{re.escape(b)}]))") for a, b in _QUOTES]
 
+#: What may be a garbled word beside Chinese or Japanese text without a blank: a run of characters of other scripts.
+_RUN = re.compile(r"[^\u1100-\u11ff\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef\U00020000-\U0003ffff]+")
+#: Two or more entities one after the other, as garbling leaves them.
+_ENTITIES = re.compile(r"(?:&(?:[A-Za-z]\w*|#\d+|#[xX][0-9a-fA-F]+);){2}")
+
 _searched: dict[str, tuple[str, float, str]] = {}
 
 
+def _bare(stretch: str) -> str:
+    """A stretch without entities, if several stand in a row: those cost what they stand for."""
+    return html.unescape(stretch) if _ENTITIES.search(stretch) else stretch
+
+
 def _restored(stretch: str) -> tuple[str, float, str]:
     if (got := _searched.get(stretch)) is None:
         if len(_searched) >= REMEMBERED // 10:
             _searched.clear()
-        _searched[stretch] = got = restore(stretch)
+        got = restore(stretch)
+        if not got[2] and (bare := _bare(stretch)) != stretch:
+            text, gain, path = restore(bare)
+            got = (text, gain, f"unescape {path}") if path else got
+        _searched[stretch] = got
     return got
 
 
@@ -325,10 +339,10 @@ def _stretches(text: str) -> Iterator[tuple[int, int, bool]]:
     """Where stretches with characters beyond ASCII begin and end, and whether each is but a quotation: enclosed in
     quotation marks by itself. Of a quotation only what is between the marks is meant."""
     spans = sorted(m.span(1) for (mark, _), q in zip(_QUOTES, _QUOTED) if mark in text for m in q.finditer(text))
-    spans = [(a, b) for a, b in spans if not text[a:b].isascii() and text.count(" ", a, b) < 3]
+    spans = [(a, b) for a, b in spans if (not text[a:b].isascii() or _ENTITIES.search(text, a, b)) and text.count(" ", a, b) < 3]
     k = 0
     for m in _STRETCH.finditer(text):
-        if m.group().isascii():
+        if m.group().isascii() and not _ENTITIES.search(m.group()):
             continue
         start, end = m.span()
         while k < len(spans) and spans[k][1] <= start:
@@ -345,17 +359,34 @@ def _stretches(text: str) -> Iterator[tuple[int, int, bool]]:
             yield start, end, False
 
 
+def _worth(stretch: str) -> bool:
+    return odd(_bare(stretch))
+
+
+def _runs(text: str, start: int, end: int, quoted: bool) -> list[tuple[int, int, bool]]:
+    """The stretch itself or, if no step mends it as a whole, those of its runs without Chinese or Japanese characters that
+    a step mends. Where characters are lost, what looks like Chinese is garbled too."""
+    stretch = text[start:end]
+    runs = [m.span() for m in _RUN.finditer(stretch)]
+    if quoted or "�" in stretch or not runs or runs == [(0, len(stretch))] or not odd(stretch) or _restored(stretch)[2]:
+        return [(start, end, quoted)]
+    runs = [(start + a, start + b) for a, b in runs if not stretch[a:b].isascii() and odd(stretch[a:b]) and _restored(stretch[a:b])[2]]
+    if not runs:
+        return [(start, end, quoted)]
+    return [(a, b, False) for a, b in runs]
+
+
 def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
     """(whether text holds a wrongly decoded stretch, the text restored as far as it can be, by how much it is cheaper,
     the steps). Stretches that are only quoted don't count and are left as they are."""
-    if not text or text.isascii():
+    if not text or text.isascii() and not _ENTITIES.search(text):
         return False, text, 0.0, ""
-    found = list(_stretches(text))
+    found = [s for whole in _stretches(text) for s in _runs(text, *whole)]
     paths: Counter[str] = Counter()
     lost = False
     for a, b, quoted in found:
         stretch = text[a:b]
-        if quoted or not odd(stretch):
+        if quoted or not _worth(stretch):
             continue
         _, gain, path = _restored(stretch)
         if path and gain > 0:
@@ -369,9 +400,9 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
         if quoted:
             continue
         stretch = text[a:b]
-        before = cost(stretch)
+        before = cost(_bare(stretch))
         options = [(cost(got) + STEP * len(w.split()) / 4 + _lone(got), got, w) for w in ways if (got := _apply(stretch, w)) is not None]
-        if odd(stretch) and (own := _restored(stretch))[1] > 0:
+        if _worth(stretch) and (own := _restored(stretch))[1] > 0:
             options.append((before - own[1], own[0], own[2]))
         priced, got, way = min(options, default=(before, stretch, ""))
         line = text.rfind("\n", 0, a)
@@ -392,7 +423,7 @@ def find_garbled(texts: DataFrame) -> DataFrame:
     """Rows of texts (doc_id, text) that hold a stretch decoded with a wrong encoding, once or repeatedly: doc_id,
     restored (the text, mended as far as it can be), fully (nothing odd is left of it), gain and steps.
 
-    Null, empty and ASCII texts have no row; neither has a text that only quotes such stretches. Whole texts are
+    Null, empty and ASCII texts have no row, unless garbled text is kept as entities there; neither has a text that only quotes such stretches. Whole texts are
     searched, row by row, so nothing is shuffled.
     """
     dtype = dict(texts.dtypes)["doc_id"]

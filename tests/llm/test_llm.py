@@ -170,6 +170,14 @@ def test_quotations_do_not_count():
     assert mojibake.analyse('"Ã¼ber" was quoted, but this is wrong: fÃ¼r alle')[0]
 
 
+def test_garbled_beside_chinese_as_entities_and_in_brackets():
+    assert mojibake.analyse("旧的租约已经过期，请看fÃ¼rspÃ¤ter的说明。")[:2] == (True, "旧的租约已经过期，请看fürspäter的说明。")
+    assert mojibake.analyse("f&Atilde;&frac14;r sp&Atilde;&curren;ter ge&Atilde;&curren;ndert")[:2] == (True, "für später geändert")
+    assert mojibake.analyse("see (fÃ¼r spÃ¤ter geÃ¤ndert)")[:2] == (True, "see (für später geändert)")
+    for text in ("a &lt;&gt; b &eacute;&eacute; &auml;&ouml;", "a &amp;&amp; b", '"&Atilde;&frac14;ber" is wrong', "旧的租约é已经过期"):
+        assert mojibake.analyse(text)[:2] == (False, text)
+
+
 def test_find_garbled(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "fÃ¼r später geÃ¤ndert"), (3, "fÃ¼r später geÃ¤ndert"), (4, "ok"), (5, "x" * 100_000 + " dÃ©jÃ\xa0 supprimÃ©")], "doc_id long, text string").selectExpr("*", "1 as gain")
     got = mojibake.find_garbled(df).collect()
