@@ -17,6 +17,7 @@ class CodeGraph:
         self.files = latest_per_key(files, ["id"], ["updated_at"], ["project_id", "path", "sha256", "language", "state"])
         self.nodes = latest_per_key(nodes, ["id"], ["updated_at"], ["file_id", "kind", "name", "qualified_name", "parent_id", "start_line", "end_line", "signature", "body_sha", "degree"])
         self.edges = graph.distinct_edges(edges)
+        self._call_rows = edges.where("kind = 'call'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "site_line", "edge_id", "confidence")
         self.calls = self.edges.where("kind = 'call'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "site_line", "confidence")
 
     def _located(self, nodes: DataFrame) -> DataFrame:
@@ -36,29 +37,34 @@ class CodeGraph:
             raise LookupError(f"{symbol} names {'several symbols' if found else 'no symbol'}")
         return self.nodes.sparkSession.createDataFrame([(found[0]["id"],)], "id string")
 
-    def callers(self, symbol: str, depth: int = 1) -> DataFrame:
-        """The calls that lead to a symbol in at most depth (1 to 3) steps, with their level."""
-        return self._search(symbol, depth, False)
+    def callers(self, symbol: str, depth: int = 1, limit: int = 100) -> graph.Search:
+        """What leads to a symbol in at most depth (1 to 3) calls: symbols with their distance, the first `limit` (1 to 500)
+        calls with their level, and whether there were more."""
+        return self._search(symbol, depth, limit, False)
 
-    def callees(self, symbol: str, depth: int = 1) -> DataFrame:
-        return self._search(symbol, depth, True)
+    def callees(self, symbol: str, depth: int = 1, limit: int = 100) -> graph.Search:
+        """As callers, along the calls."""
+        return self._search(symbol, depth, limit, True)
 
-    def _search(self, symbol: str, depth: int, forward: bool) -> DataFrame:
+    def _search(self, symbol: str, depth: int, limit: int, forward: bool) -> graph.Search:
         if not 1 <= depth <= 3:
             raise ValueError("depth must be from 1 to 3")
-        return graph.bounded_search(self.calls, self._root(symbol), depth, forward)[1].orderBy("level", "src", "dst", "site_line")
+        once = lambda rows: graph.distinct_edges(rows, ["src", "dst", "site_line", "edge_id"])
+        found = graph.bounded_search(self._call_rows, self._root(symbol), depth, forward, once, limit)
+        known = self._located(self.nodes.join(found.nodes, "id"))
+        return graph.Search(known, found.edges.drop("edge_id").orderBy("level", "src", "dst", "site_line"), found.truncated)
 
     def search(self, query: str, limit: int = 50) -> DataFrame:
         """Ranked full-text search over qualified names and signatures."""
         return self._located(text.search(self.nodes, "id", ["qualified_name", "signature"], query, limit).join(self.nodes, "id")).orderBy(F.desc("score"), "id")
 
     def repo_map(self, budget: int = 2000, prefix: str = "") -> DataFrame:
-        """The most called symbols below a path prefix whose lines fit into a budget of characters."""
+        """The most called symbols below a path prefix whose lines fit into a budget of UTF-8 bytes."""
         if not 0 <= budget <= 32_000:
             raise ValueError("budget must be from 0 to 32000")
         rows = self._located(self.nodes).where(F.col("path").startswith(prefix))
-        line = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), F.coalesce("qualified_name", "name"))
-        rows = rows.select("id", "path", "start_line", line.alias("line"), (-F.col("degree")).alias("neg_degree"), (F.length(line) + 1).alias("cost"))
+        line = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("  "), F.coalesce("signature", "qualified_name", "name", F.lit("")))
+        rows = rows.select("id", "path", "start_line", line.alias("line"), (-F.col("degree")).alias("neg_degree"), (F.octet_length(line) + 1).alias("cost"))
         return ordered.within_budget(rows, [], ["neg_degree", "path", "start_line", "id"], "cost", budget)
 
     def doctor(self) -> DataFrame:

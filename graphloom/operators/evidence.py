@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import peeled
-from graphloom.session import BROADCAST_ROWS, materialize
+from graphloom.session import hinted, materialize, weight
 
 
 @dataclass(frozen=True)
@@ -70,12 +70,12 @@ def matched_by_range(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 def reached(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """All ids that links (src, dst) lead to from seeds (id), seeds included. Rounds go on until none is new."""
-    frontier = materialize(seeds.where("id is not null").select("id").distinct())
+    frontier = materialize(seeds.where("id is not null").select("id").distinct(), measured=True)
     seen = frontier
-    while n := frontier.count():
-        side = frontier.select(F.col("id").alias("src"))
-        step = links.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "src", "left_semi").select(F.col("dst").alias("id")).where("id is not null").distinct()
-        frontier = materialize(step.join(seen, "id", "left_anti"))
+    while weight(frontier)[0]:
+        side = hinted(frontier).withColumnRenamed("id", "src")
+        step = links.join(side, "src", "left_semi").select(F.col("dst").alias("id")).where("id is not null").distinct()
+        frontier = materialize(step.join(seen, "id", "left_anti"), measured=True)
         seen = materialize(seen.unionByName(frontier))
     return seen
 

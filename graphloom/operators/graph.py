@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, materialize
+from graphloom.session import hinted, materialize, weight
 
 #: Distinct edges that one task may hold to finish a search for components.
 TASK_EDGES = 500_000
@@ -25,31 +26,54 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.where("dst is not null").groupBy("dst").agg(F.count("*").alias("degree"))
 
 
-def bounded_search(edges: DataFrame, roots: DataFrame, depth: int = 3, forward: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) reached from roots (id) in at most depth steps: nodes with their least distance, and every edge
-    walked with the level at which it was, from 1. forward: along src -> dst, else against.
+class Search(NamedTuple):
+    """What a search reached: nodes (id, distance), the edges walked (with their level), whether a limit cut it short."""
 
-    Each node is expanded once. The frontier is written and counted each level; it is broadcast only while small.
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+def bounded_search(edges: DataFrame, roots: DataFrame, depth: int = 3, forward: bool = True, once: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None) -> Search:
+    """What is reached from roots (id) in at most depth steps: nodes with their least distance, and every edge walked with
+    the level at which it was, from 1. forward: along src -> dst, else against.
+
+    Each node is expanded once. The frontier is written and measured each level; it is broadcast only while small. once
+    makes repeated edge rows one; it is applied to the edges at the frontier, so the whole table is never aggregated.
+    limit: the search ends when so many edges were walked, level by level in order of the frontier's ids, then of the
+    other columns; then it is truncated.
     """
     if not 1 <= depth <= 50:
         raise ValueError("depth must be from 1 to 50")
+    if limit is not None and not 1 <= limit <= 500:
+        raise ValueError("limit must be from 1 to 500")
     here, there = ("src", "dst") if forward else ("dst", "src")
-    frontier = materialize(roots.where("id is not null").select("id").distinct())
+    frontier = materialize(roots.where("id is not null").select("id").distinct(), measured=True)
     visited = frontier.withColumn("distance", F.lit(0))
-    walked = None
+    walked, taken, truncated = None, 0, False
     for level in range(1, depth + 1):
-        n = frontier.count()
-        if not n:
+        if not weight(frontier)[0]:
             break
-        side = frontier.select(F.col("id").alias(here))
-        step = materialize(edges.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, here, "left_semi").withColumn("level", F.lit(level)))
+        step = edges.join(hinted(frontier).withColumnRenamed("id", here), here, "left_semi").select(*edges.columns)
+        step = step if once is None else once(step)
+        if limit is not None:
+            order = [here, there, *(c for c in step.columns if c not in (here, there))]
+            step = materialize(step.orderBy(*order).limit(limit - taken + 1), measured=True)
+            n = weight(step)[0]
+            truncated = n > limit - taken
+            step = step.orderBy(*order).limit(limit - taken)
+            taken += min(n, limit - taken)
+        step = materialize(step.withColumn("level", F.lit(level)))
         walked = step if walked is None else walked.unionByName(step)
-        fresh = step.where(F.col(there).isNotNull()).select(F.col(there).alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
-        frontier = materialize(fresh)
+        frontier = step.where(F.col(there).isNotNull()).select(F.col(there).alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+        if level < depth and not truncated:  # the last one is made only where nodes are asked for
+            frontier = materialize(frontier, measured=True)
         visited = visited.unionByName(frontier.withColumn("distance", F.lit(level)))
+        if truncated:
+            break
     if walked is None:
-        walked = edges.withColumn("level", F.lit(0)).limit(0)
-    return visited, walked
+        walked = (edges if once is None else once(edges)).withColumn("level", F.lit(0)).limit(0)
+    return Search(visited, walked, truncated)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,10 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, materialize
+from graphloom.session import materialize, small, weight
 
-#: Exits that one task may fold at once.
+#: Exits that one task may fold at once, and bytes of their ids and of what lies above them.
 MERGE_ROWS = 250_000
+MERGE_BYTES = 128 << 20
 #: Rows that a partition of the first fold gets at most, on average.
 LOCAL_ROWS = 100_000
 #: Partitions whose exits are folded together.
@@ -118,8 +119,8 @@ def _folder(base: bool, paths: bool, group: bool):
     return fold
 
 
-def _joined(left: DataFrame, right: DataFrame, on, how: str, right_rows: int) -> DataFrame:
-    return left.join(F.broadcast(right) if right_rows <= BROADCAST_ROWS else right, on, how)
+def _joined(left: DataFrame, right: DataFrame, on, how: str, few: bool) -> DataFrame:
+    return left.join(F.broadcast(right) if few else right, on, how)
 
 
 def _exits(fold: DataFrame, base: bool) -> DataFrame:
@@ -127,9 +128,9 @@ def _exits(fold: DataFrame, base: bool) -> DataFrame:
     leaving = fold.where("exit is not null and id = rep")
     target = fold.select(F.col("id").alias("exit"), F.col("rep").alias("t_rep"), F.col("off").alias("t_off"), F.col("low").alias("t_low"), F.col("cycle").alias("t_cycle"), F.col("names").alias("t_names"), F.col("ids").alias("t_ids"))
     wanted = leaving.select("id", "pid", "exit", "exit_w", "exit_low", "exit_names", "exit_ids")
-    rows = wanted.count()
     # the exits are the small side; which of the targets exist shows in the join
-    found = _joined(target, wanted.select("exit").distinct(), "exit", "left_semi", rows)
+    sought = wanted.select("exit").distinct()
+    found = _joined(target, sought, "exit", "left_semi", small(sought))
     links = wanted.join(found, "exit", "left")
     exists = F.col("t_rep").isNotNull()
     # at the base an exit that isn't found is a missing parent: the local root is a root. Later it is a root already.
@@ -183,22 +184,23 @@ def _doubled(links: DataFrame, rows: int) -> DataFrame:
 
 
 def _resolve(links: DataFrame, paths: bool, last: int | None = None) -> tuple[DataFrame, int]:
-    links = materialize(links)
-    rows = links.count()
-    if rows <= MERGE_ROWS:
-        return materialize(_finished(links.coalesce(1).mapInArrow(_folder(False, paths, True), _FOLD))), rows
+    links = materialize(links, measured=True)
+    rows, n_bytes = weight(links)
+    if rows <= MERGE_ROWS and n_bytes <= MERGE_BYTES:
+        return materialize(_finished(links.coalesce(1).mapInArrow(_folder(False, paths, True), _FOLD)), measured=True), rows
     groups = links.select(F.max("pid")).first()[0] + 1
     if groups == 1 or last is not None and rows > 0.7 * last:
         return materialize(_doubled(links, rows)), rows
     wide = links.withColumn("pid", F.floor(F.col("pid") / FAN).cast("int"))
     fold = materialize(wide.repartition(max(1, -(-groups // FAN)), "pid").mapInArrow(_folder(False, paths, False), _FOLD))
-    upper, n = _resolve(_exits(fold, False), paths, rows)
-    return materialize(_composed(fold, upper, n)), rows
+    upper, _ = _resolve(_exits(fold, False), paths, rows)
+    return materialize(_composed(fold, upper)), rows
 
 
-def _composed(fold: DataFrame, upper: DataFrame, rows: int) -> DataFrame:
+def _composed(fold: DataFrame, upper: DataFrame) -> DataFrame:
+    """fold joined with the written result for its local roots; that is broadcast only if, paths included, it is small."""
     up = upper.select(F.col("id").alias("rep"), F.col("root").alias("u_root"), F.col("off").alias("u_off"), F.col("cycle").alias("u_cycle"), F.col("names").alias("u_names"), F.col("ids").alias("u_ids"))
-    j = _joined(fold, up, "rep", "left", rows)
+    j = _joined(fold, up, "rep", "left", small(upper))
     on = F.col("u_root").isNotNull()
     joint = lambda k: F.when(on, F.concat(f"u_{k}", k)).otherwise(F.col(k)).alias(k)
     return j.select("id", F.coalesce("u_root", "rep").alias("root"), (F.col("off") + F.coalesce("u_off", F.lit(0))).alias("off"), F.coalesce("cycle", "u_cycle").alias("cycle"), joint("names"), joint("ids"))
@@ -220,8 +222,8 @@ def resolve_links(nodes: DataFrame, paths: bool = False, near: list[str] | None
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LOCAL_ROWS))
     placed = rows.repartitionByRange(n, *near, "id").select("id", "parent", *(["name"] if paths else []))
     fold = materialize(placed.mapInArrow(_folder(True, paths, False), _FOLD))
-    upper, k = _resolve(_exits(fold, True), paths)
-    return _composed(fold, upper, k)
+    upper, _ = _resolve(_exits(fold, True), paths)
+    return _composed(fold, upper)
 
 
 def current_nodes(nodes: DataFrame) -> DataFrame:

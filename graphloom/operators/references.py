@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import BROADCAST_ROWS, materialize
+from graphloom.session import materialize, small
 
 #: So many of the most frequent missing keys are joined by broadcast when all missing keys are too many for it; every
 #: other key then holds less than one row in a thousand, which a shuffled join spreads evenly.
@@ -26,11 +26,11 @@ def missing_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
 def join_back(references: DataFrame, missing: DataFrame, on: list[str]) -> DataFrame:
     """The rows of references whose columns `on` are among those of missing (which has n beside them).
 
-    missing is written first and its rows counted. Up to BROADCAST_ROWS it is broadcast and references isn't shuffled;
-    beyond, only its HOT_KEYS most frequent keys are, and the rest is joined by shuffle.
+    missing is written first and measured. If its rows and bytes allow it, it is broadcast and references isn't shuffled;
+    else only its HOT_KEYS most frequent keys are, and the rest is joined by shuffle.
     """
-    missing = materialize(missing)
-    if missing.count() <= BROADCAST_ROWS:
+    missing = materialize(missing, measured=True)
+    if small(missing):
         return references.join(F.broadcast(missing.select(*on)), on, "left_semi")
     hot = materialize(missing.orderBy(F.desc("n"), *on).limit(HOT_KEYS)).select(*on)
     rest = missing.select(*on).join(F.broadcast(hot), on, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import materialize
+
 
 def resolve_names(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row per site and candidate: site_id, dst_id, confidence.
@@ -17,8 +19,10 @@ def resolve_names(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     candidates there are `ambiguous`, one row each; none gives `name:<name>`, `unresolved`. Sites without a name have no
     row. Distinct lookups are resolved, so a name called everywhere is looked up once per scope and file.
     """
-    sites = sites.where("name is not null")
-    asked = sites.select("group_id", "file_id", "scope", "name").distinct()
+    asked_of = ["group_id", "file_id", "scope", "name"]
+    # a lookup is named by a digest of what is asked, so all joins are by one plain key
+    sites = sites.where("name is not null").withColumn("look", F.md5(F.to_json(F.struct(*asked_of))))
+    asked = materialize(sites.groupBy("look").agg(F.any_value(F.struct(*asked_of)).alias("_a")).select("look", "_a.*"))
     parts = F.split(F.coalesce("scope", F.lit("")), r"\.")
     depth = F.when(F.coalesce("scope", F.lit("")) == "", 0).otherwise(F.size(parts))
     dotted = F.col("name").contains(".")
@@ -26,28 +30,22 @@ def resolve_names(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     tried = asked.withColumn("up", F.explode(steps))
     prefix = F.array_join(F.slice(parts, 1, depth - F.col("up")), ".")
     full = F.when(dotted | (F.col("up") == depth), F.col("name")).otherwise(F.concat(prefix, F.lit("."), "name"))
-    tried = tried.withColumn("qualified_name", full)
+    tried = tried.select("look", "file_id", "up", full.alias("qualified_name"))
     own = symbols.select("file_id", "qualified_name", F.col("id").alias("dst_id")).distinct()
-    local = tried.join(own, ["file_id", "qualified_name"]).select("group_id", "file_id", "scope", "name", "up", "dst_id")
-    keys = ["group_id", "file_id", "scope", "name"]
-    nearest = local.groupBy(*keys).agg(F.min("up").alias("up"))
-    a, b = local.alias("a"), nearest.alias("b")
-    at_home = a.join(b, [*[F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.col("a.up") == F.col("b.up")]).select("a.*").drop("up")
-    at_home = at_home.withColumn("place", F.lit("resolved_local"))
-    c, n = asked.alias("a"), nearest.alias("b")
-    rest = c.join(n, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left_anti")
+    local = materialize(tried.join(own, ["file_id", "qualified_name"]).select("look", "up", "dst_id"))
+    # of a lookup's places the nearest, with the number of candidates there
+    near = local.groupBy("look", "up").agg(F.count("*").alias("n")).groupBy("look").agg(F.min(F.struct("up", "n")).alias("_b")).select("look", "_b.*")
+    home = local.join(near, ["look", "up"]).select("look", "dst_id", "n", F.lit("resolved_local").alias("place"))
+    rest = asked.join(near, "look", "left_anti").select("look", "group_id", "name")
     names = symbols.select("group_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"), F.col("id").alias("dst_id")).where("name is not null").distinct()
     # project-wide a name is asked once, whatever the files and scopes it is asked from
-    wanted = rest.select("group_id", "name").distinct().join(names, ["group_id", "name"])
-    abroad = rest.join(wanted, ["group_id", "name"], "left").select(*keys, "dst_id").withColumn("place", F.lit("unique_in_project"))
-    found = at_home.select(*keys, "dst_id", "place").unionByName(abroad)
-    counts = found.groupBy(*keys).agg(F.count("dst_id").alias("n"))
-    f, k = found.alias("a"), counts.alias("b")
-    labelled = f.join(k, [F.col(f"a.{x}").eqNullSafe(F.col(f"b.{x}")) for x in keys]).select("a.*", "b.n")
+    wanted = materialize(names.join(rest.select("group_id", "name").distinct(), ["group_id", "name"], "left_semi"))
+    several = wanted.groupBy("group_id", "name").agg(F.count("*").alias("n"))
+    away = rest.join(several, ["group_id", "name"], "left").join(wanted, ["group_id", "name"], "left")
+    away = away.select("look", F.coalesce("dst_id", F.concat(F.lit("name:"), "name")).alias("dst_id"), F.coalesce("n", F.lit(0)).alias("n"), F.lit("unique_in_project").alias("place"))
     confidence = F.when(F.col("n") == 0, "unresolved").when(F.col("n") > 1, "ambiguous").otherwise(F.col("place"))
-    labelled = labelled.select(*keys, F.coalesce("dst_id", F.concat(F.lit("name:"), "name")).alias("dst_id"), confidence.alias("confidence"))
-    s, x = sites.alias("a"), labelled.alias("b")
-    return s.join(x, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.site_id", "b.dst_id", "b.confidence")
+    found = home.unionByName(away).select("look", "dst_id", confidence.alias("confidence"))
+    return sites.select("site_id", "look").join(found, "look").select("site_id", "dst_id", "confidence")
 
 
 def affected_sites(sites: DataFrame, changed_files: DataFrame, affected_names: DataFrame) -> DataFrame:

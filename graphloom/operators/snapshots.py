@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTRY = "project_id string, path string, current int, revision long, sha256 string"
@@ -57,6 +57,17 @@ def archived_entries(history: DataFrame) -> DataFrame:
     return history.select("project_id", "revision", "document").mapInArrow(_read_documents, ENTRY)
 
 
+def readable() -> Column:
+    """Whether a snapshot's document (column document) is JSON with a list of sources."""
+    return F.json_array_length(F.get_json_object("document", "$.sources")).isNotNull()
+
+
+def bad_documents(history: DataFrame) -> DataFrame:
+    """project_id, revision and snapshot_id of archived snapshots of which no row has a readable document."""
+    rows = history.groupBy("project_id", "revision").agg(F.max(readable()).alias("_good"), F.max("snapshot_id").alias("snapshot_id"))
+    return rows.where("not _good").select("project_id", "revision", "snapshot_id")
+
+
 def chain(revisions: DataFrame) -> DataFrame:
     """(project_id, current, revision) with prev_revision and next_revision of the snapshot before and after it."""
     order = Window.partitionBy("project_id").orderBy("current", "revision")
@@ -166,13 +177,14 @@ def map_changes(history: DataFrame, sample_map: DataFrame) -> DataFrame:
     """Changes of files between a project's archived snapshots in order of revision, then its current map.
 
     history: project_id, revision, document. sample_map: id, project_id, revision, path, sha256, delivered_at; the row
-    with the latest delivered_at holds for an id, and a project's greatest revision stands for its current map.
+    with the latest delivered_at holds for an id, and a project's greatest revision stands for its current map. Revisions
+    without a readable document are left out of the chain: what they held is unknown (see bad_documents).
     """
     from graphloom.operators.latest import latest_per_key
 
     current = latest_per_key(sample_map, ["id"], ["delivered_at"], ["project_id", "revision", "path", "sha256"])
     latest = current.groupBy("project_id").agg(F.max("revision").alias("revision")).select("project_id", F.lit(1).alias("current"), "revision")
-    revisions = chain(history.select("project_id", F.lit(0).alias("current"), "revision").unionByName(latest))
+    revisions = chain(history.where(readable()).select("project_id", F.lit(0).alias("current"), "revision").unionByName(latest))
     archived = archived_entries(history).join(revisions.where("current = 0"), ["project_id", "current", "revision"])
     now = current.where("path is not null").select("project_id", "path", F.lit(1).alias("current"), F.lower("sha256").alias("sha256"))
     now = now.mapInArrow(_normal_paths, now.schema).join(revisions.where("current = 1"), ["project_id", "current"])

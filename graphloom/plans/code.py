@@ -28,6 +28,15 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.distinct_edges(table(spark, d, "edges"))
 
 
+def _call_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Calls as they were delivered, some of them twice."""
+    return table(spark, d, "edges").where("kind = 'call'").select("edge_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "site_line", "confidence")
+
+
+def _once(calls: DataFrame) -> DataFrame:
+    return graph.distinct_edges(calls, ["edge_id", "src", "dst", "site_line"])
+
+
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).where("kind = 'call'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "site_line", "confidence")
 
@@ -36,6 +45,12 @@ def _top_called(spark: SparkSession, d: str) -> DataFrame:
     return graph.in_degree(_calls(spark, d)).where("dst not like 'name:%'").orderBy(F.desc("degree"), "dst").limit(1).select(F.col("dst").alias("id"))
 
 
+def _top_caller(spark: SparkSession, d: str) -> DataFrame:
+    """The symbol that calls most others whose symbols are known."""
+    known = _calls(spark, d).where("dst not like 'name:%'").select("src", "dst").distinct()
+    return known.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("id"))
+
+
 def current_symbols(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d, "kind", "qualified_name", "file_id").select("id", "kind", "qualified_name", "file_id", "updated_at")
 
@@ -51,12 +66,22 @@ def degree_recount(spark: SparkSession, d: str) -> DataFrame:
 
 
 def callers_of_top(spark: SparkSession, d: str) -> DataFrame:
-    _, walked = graph.bounded_search(_calls(spark, d), materialize(_top_called(spark, d)), 3, forward=False)
-    return walked.select("level", "src", "dst", "site_line", "confidence")
+    found = graph.bounded_search(_call_rows(spark, d), _top_called(spark, d), 3, forward=False, once=_once)
+    return found.edges.select("level", "src", "dst", "site_line", "confidence")
+
+
+def callers_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 calls on the way to the most called symbol, and whether there were more."""
+    found = graph.bounded_search(_call_rows(spark, d).select("src", "dst", "site_line", "edge_id", "confidence"), _top_called(spark, d), 3, forward=False, once=_once_by_line, limit=100)
+    return found.edges.select("level", "src", "dst", "site_line", F.lit(found.truncated).alias("truncated"))
+
+
+def _once_by_line(calls: DataFrame) -> DataFrame:
+    return graph.distinct_edges(calls, ["src", "dst", "site_line", "edge_id"])
 
 
 def callees_from_top(spark: SparkSession, d: str) -> DataFrame:
-    reached, _ = graph.bounded_search(_calls(spark, d), materialize(_top_called(spark, d)), 3, forward=True)
+    reached = graph.bounded_search(_call_rows(spark, d), _top_caller(spark, d), 3, forward=True, once=_once).nodes
     return reached.select("id", F.col("distance").cast("int").alias("distance"))
 
 
@@ -169,7 +194,7 @@ def invalidation(spark: SparkSession, d: str) -> DataFrame:
 
 def impact(spark: SparkSession, d: str) -> DataFrame:
     """Symbols from which calls lead, within three steps, to symbols with another body."""
-    reached, _ = graph.bounded_search(_calls(spark, d), _changed_symbols(spark, d), 3, forward=False)
+    reached = graph.bounded_search(_call_rows(spark, d), _changed_symbols(spark, d), 3, forward=False, once=_once).nodes
     return reached.select("id", F.col("distance").cast("int").alias("distance"))
 
 
@@ -186,16 +211,16 @@ def symbol_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
-    """Per project the most called symbols whose lines fit into 2,000 characters."""
+    """Per project the most called symbols whose lines fit into 2,000 bytes."""
     files = _files(spark, d, "project_id", "path").select(F.col("id").alias("file_id"), "project_id", "path")
-    rows = _nodes(spark, d, "file_id", "name", "start_line", "degree").join(files, "file_id")
-    line = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), F.coalesce("name", F.lit("")))
-    rows = rows.select("project_id", (-F.col("degree")).alias("neg"), "path", "start_line", "id", (F.length(line) + 1).alias("cost"))
+    rows = _nodes(spark, d, "file_id", "signature", "start_line", "degree").join(files, "file_id")
+    line = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("  "), F.coalesce("signature", F.lit("")))
+    rows = rows.select("project_id", (-F.col("degree")).alias("neg"), "path", "start_line", "id", (F.octet_length(line) + 1).alias("cost"))
     return ordered.within_budget(rows, ["project_id"], ["neg", "path", "start_line", "id"], "cost", 2000).select("project_id", "id", "cost")
 
 
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = text.search(_words(spark, d), "id", ["name", "qualified_name", "signature"], "scan ledger", None)
+    hits = text.search(_words(spark, d), "id", ["name", "qualified_name", "signature"], "scan ledger", 50)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -295,6 +320,6 @@ def python_sites(spark: SparkSession, d: str) -> DataFrame:
     return tree.python_sites(table(spark, d, "source_texts").join(wanted, "sha256", "left_semi"))
 
 
-QUERIES = {f.__name__: f for f in (current_symbols, degree_topk, degree_recount, callers_of_top, callees_from_top, edge_histogram, call_shape, call_components, call_circles, containment_left, file_rollup, folder_rollup, related_files, resolve_calls, enclosing_symbols, covered_lines, uncovered_lines, symbol_versions, file_mismatch, map_renames, invalidation, impact, work_queue, symbol_pages, repo_map, symbol_search, symbol_fuzzy, line_grep, line_counts, path_classes, prefix_files, file_states, read_coverage, same_content, map_digest, key_violations, name_labels, file_top_symbols, python_symbols, python_sites)}
+QUERIES = {f.__name__: f for f in (current_symbols, degree_topk, degree_recount, callers_of_top, callers_limited, callees_from_top, edge_histogram, call_shape, call_components, call_circles, containment_left, file_rollup, folder_rollup, related_files, resolve_calls, enclosing_symbols, covered_lines, uncovered_lines, symbol_versions, file_mismatch, map_renames, invalidation, impact, work_queue, symbol_pages, repo_map, symbol_search, symbol_fuzzy, line_grep, line_counts, path_classes, prefix_files, file_states, read_coverage, same_content, map_digest, key_violations, name_labels, file_top_symbols, python_symbols, python_sites)}
 
 from graphloom.plans.code_sql import SQL  # noqa: E402, F401

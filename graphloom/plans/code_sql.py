@@ -10,6 +10,7 @@ _M = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 _E = "e AS (SELECT edge_id, src_id, dst_id, kind, site_line, min(confidence) AS confidence FROM edges GROUP BY ALL)"
 _C = "c AS (SELECT src_id AS src, dst_id AS dst, site_line, confidence FROM e WHERE kind = 'call')"
 _TOP = "top AS (SELECT dst AS id FROM c WHERE NOT starts_with(dst, 'name:') GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
+_BUSY = "busy AS (SELECT src AS id FROM c WHERE NOT starts_with(dst, 'name:') GROUP BY src ORDER BY count(DISTINCT dst) DESC, src LIMIT 1)"
 _CHANGED = "changed AS (SELECT id FROM (SELECT id, first(body_sha ORDER BY updated_at NULLS FIRST, body_sha NULLS FIRST) AS a, last(body_sha ORDER BY updated_at NULLS FIRST, body_sha NULLS FIRST) AS b FROM nodes GROUP BY id) WHERE a IS DISTINCT FROM b)"
 _NORMAL = "regexp_replace(replace(path, '\\', '/'), '^(\\./+)+', '')"
 
@@ -42,7 +43,8 @@ SQL = {
     "degree_topk": f"WITH {_E}, {_C} SELECT dst, count(*) AS degree FROM c GROUP BY dst ORDER BY degree DESC, dst LIMIT 50",
     "degree_recount": f"WITH {_N}, {_E}, {_C} SELECT n.id, n.degree, coalesce(k.counted, 0) AS counted FROM n LEFT JOIN (SELECT dst, count(*) AS counted FROM c GROUP BY dst) k ON k.dst = n.id WHERE n.degree IS DISTINCT FROM coalesce(k.counted, 0)",
     "callers_of_top": f"WITH {_E}, {_C}, {_TOP}, {_reach('SELECT id FROM top', 'dst', 'src')} " + " UNION ALL ".join(f"SELECT {k + 1} AS level, c.* FROM c JOIN l{k} ON c.dst = l{k}.id" for k in range(3)),
-    "callees_from_top": f"WITH {_E}, {_C}, {_TOP}, {_reach('SELECT id FROM top', 'src', 'dst')} {_ALL}",
+    "callers_limited": f"WITH {_E}, {_C}, {_TOP}, {_reach('SELECT id FROM top', 'dst', 'src')}, w AS (" + " UNION ALL ".join(f"SELECT {k + 1} AS level, c.src, c.dst, c.site_line FROM c JOIN l{k} ON c.dst = l{k}.id" for k in range(3)) + ") SELECT *, (SELECT count(*) FROM w) > 100 AS truncated FROM w ORDER BY level, dst, src, site_line LIMIT 100",
+    "callees_from_top": f"WITH {_E}, {_C}, {_BUSY}, {_reach('SELECT id FROM busy', 'src', 'dst')} {_ALL}",
     "edge_histogram": f"WITH {_E} SELECT kind, confidence, count(*) AS n FROM e GROUP BY ALL",
     "call_shape": f"""WITH {_E}, {_C}, once AS (SELECT DISTINCT src, dst FROM c WHERE src <> dst), ids AS (SELECT DISTINCT id FROM nodes),
 x AS (SELECT ids.id, coalesce(o.k, 0) AS o, coalesce(i.k, 0) AS i FROM ids LEFT JOIN (SELECT src, count(*) AS k FROM once GROUP BY src) o ON o.src = ids.id LEFT JOIN (SELECT dst, count(*) AS k FROM once GROUP BY dst) i ON i.dst = ids.id)
@@ -87,15 +89,15 @@ SELECT id, 'stale' AS status FROM stale UNION ALL SELECT DISTINCT src, 'suspect'
     "impact": f"WITH {_E}, {_C}, {_CHANGED}, {_reach('SELECT id FROM changed', 'dst', 'src')} {_ALL}",
     "work_queue": f"WITH {_N} SELECT id AS node_id, degree * 10 - CASE WHEN degree = 0 THEN 1 ELSE 0 END AS priority, CAST(greatest(128, floor(((end_line - start_line + 1) * 40 + 2) / 3) + 512) AS BIGINT) AS estimated_tokens FROM n",
     "symbol_pages": f"WITH {_N}, r AS (SELECT id, row_number() OVER (ORDER BY file_id NULLS FIRST, start_line NULLS FIRST, id) AS rank FROM n) SELECT id, rank, (rank - 1) // 100 AS page FROM r",
-    "repo_map": f"""WITH RECURSIVE {_N}, {_F}, x AS (SELECT f.project_id, n.id, CAST(length(f.path || ':' || CAST(n.start_line AS VARCHAR) || ' ' || coalesce(n.name, '')) + 1 AS INTEGER) AS cost,
-  row_number() OVER (PARTITION BY f.project_id ORDER BY n.degree DESC, f.path, n.start_line, n.id) AS k FROM n JOIN f ON f.id = n.file_id WHERE length(f.path || ':' || CAST(n.start_line AS VARCHAR) || ' ' || coalesce(n.name, '')) + 1 <= 2000),
+    "repo_map": f"""WITH RECURSIVE {_N}, {_F}, x AS (SELECT f.project_id, n.id, CAST(strlen(f.path || ':' || CAST(n.start_line AS VARCHAR) || '  ' || coalesce(n.signature, '')) + 1 AS INTEGER) AS cost,
+  row_number() OVER (PARTITION BY f.project_id ORDER BY n.degree DESC, f.path, n.start_line, n.id) AS k FROM n JOIN f ON f.id = n.file_id WHERE strlen(f.path || ':' || CAST(n.start_line AS VARCHAR) || '  ' || coalesce(n.signature, '')) + 1 <= 2000),
 walk AS (SELECT project_id, id, cost, k, true AS taken, 2000 - cost AS remaining FROM x WHERE k = 1
   UNION ALL SELECT x.project_id, x.id, x.cost, x.k, x.cost <= w.remaining, CASE WHEN x.cost <= w.remaining THEN w.remaining - x.cost ELSE w.remaining END FROM walk w JOIN x ON x.project_id = w.project_id AND x.k = w.k + 1)
 SELECT project_id, id, cost FROM walk WHERE taken""",
     "symbol_search": f"""WITH {_N}, w AS (SELECT id, {_WORDS} AS t FROM n), s AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM w),
 df AS (SELECT term, (SELECT count(*) FROM w WHERE list_contains(t, term)) AS df FROM (VALUES ('scan'), ('ledger')) v(term)),
 p AS (SELECT id, term, len(t) AS length, len(list_filter(t, lambda x: x = term)) AS tf, df FROM w, df WHERE list_contains(t, 'scan') AND list_contains(t, 'ledger'))
-SELECT id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM p, s GROUP BY id""",
+SELECT id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM p, s GROUP BY id ORDER BY score DESC, id LIMIT 50""",
     "symbol_fuzzy": f"WITH {_N} SELECT id, name FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(qualified_name), 'ledger')",
     "line_grep": f"WITH {_LINES} SELECT sha256, CAST(line_no AS INTEGER) AS line_no, substr(line, 1, 2000) AS line FROM lines WHERE contains(lower(line), 'signal(')",
     "line_counts": f"WITH {_LINES} SELECT sha256, count(*) AS n_lines, CAST(max(length(line)) AS INTEGER) AS longest FROM lines GROUP BY sha256",

@@ -45,8 +45,8 @@ def test_api(spark):
     g = CodeGraph(files, nodes, edges)
     assert [r["id"] for r in g.find_symbol("load").collect()] == ["n1"]
     assert {r["id"] for r in g.find_symbol("LOAD", fuzzy=True).collect()} == {"n1", "n2"}
-    assert [(r["src"], r["level"]) for r in g.callers("K.load_all", 2).collect()] == [("n1", 1)]
-    assert [r["dst"] for r in g.callees("load", 2).collect()] == ["n2", "name:q"]
+    assert [(r["src"], r["level"]) for r in g.callers("K.load_all", 2).edges.collect()] == [("n1", 1)]
+    assert [r["dst"] for r in g.callees("load", 2).edges.collect()] == ["n2", "name:q"]
     assert [r["id"] for r in g.search("paths").collect()] == ["n2"]
     assert [r["id"] for r in g.repo_map(30).collect()] == ["n2"]
     assert {r["check"]: r["n"] for r in g.doctor().collect()} == {"dangling_source": 1, "dangling_target": 1, "degree_differs": 1, "file_missing": 1}

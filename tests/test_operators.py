@@ -51,11 +51,15 @@ def test_search_shape_rollup(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "name:x"), ("a", "b")]
     e = edges_of(spark, pairs)
     roots = spark.createDataFrame([("a",)], "id string")
-    nodes, walked = graph.bounded_search(e, roots, 2)
+    nodes, walked, _ = graph.bounded_search(e, roots, 2)
     assert {(r["id"], r["distance"]) for r in nodes.collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert sorted((r["level"], r["src"]) for r in walked.collect()) == [(1, "a"), (1, "a"), (2, "b")]
-    nodes, _ = graph.bounded_search(e, roots, 50, forward=False)
+    nodes = graph.bounded_search(e, roots, 50, forward=False).nodes
     assert {r["id"] for r in nodes.collect()} == {"a", "b", "c"}
+    cut = graph.bounded_search(e, roots, 3, once=lambda x: x.distinct(), limit=2)
+    assert cut.truncated and sorted((r["level"], r["dst"]) for r in cut.edges.collect()) == [(1, "b"), (2, "c")]
+    whole = graph.bounded_search(e, roots, 3, once=lambda x: x.distinct(), limit=4)
+    assert not whole.truncated and whole.edges.count() == 4
     with pytest.raises(ValueError):
         graph.bounded_search(e, roots, 0)
     s = {r["id"]: r for r in graph.shape(e, spark.createDataFrame([("a",), ("c",), ("z",)], "id string")).collect()}
@@ -95,10 +99,56 @@ def test_ordered(spark):
     assert {r["next_offset"] for r in ordered.page(ranked, 190, 5).collect()} == {195}
     assert {r["next_offset"] for r in ordered.page(ranked, 190, 10).collect()} == {None}
     assert ordered.with_previous(df.limit(0), ["k"], ["i"], ["v"]).count() == 0
+    assert got == {r["i"]: r["x_before"] for r in ordered.with_previous(df.withColumnRenamed("v", "x"), ["k"], ["i"], ["x"]).collect()}
     costs = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 3), ("a", 4, 2), ("b", 1, 11), ("b", 2, 10), ("b", 3, None)], "k string, o long, cost long")
     assert {(r["k"], r["o"]) for r in ordered.within_budget(costs, ["k"], ["o"], "cost", 10).collect()} == {("a", 1), ("a", 3), ("b", 2), ("b", 3)}
 
 
+def test_ordered_with_split_files(spark):
+    """Written files that are read in many splits: every row still gets its own predecessor and rank."""
+    settings = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "0", "parquet.block.size": "1024"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "1024")
+    hadoop.set("parquet.page.size", "256")
+    hadoop.set("parquet.block.size.row.check.min", "10")
+    hadoop.set("parquet.page.size.row.check.min", "10")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rng = random.Random(9)
+        rows = [(rng.choice(["big", "big", "s", None]), i, f"{rng.random()}" * 3) for i in range(6000)]
+        df = spark.createDataFrame(rows, "k string, i long, v string").repartition(3)
+        assert ordered._placed(df, ["k"], ["i"]).rdd.getNumPartitions() > 8  # the files are split
+        want, last = {}, {}
+        for k, i, v in rows:
+            want[i], last[k] = last.get(k), v
+        assert {r["i"]: r["v_before"] for r in ordered.with_previous(df, ["k"], ["i"], ["v"]).collect()} == want
+        places = ordered.with_rank(df, ["v", "i"]).orderBy("rank").collect()
+        assert [r["i"] for r in places] == [i for _, i, _ in sorted(rows, key=lambda r: (r[2], r[1]))] and places[-1]["rank"] == 6000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for k in ("parquet.block.size", "parquet.page.size", "parquet.block.size.row.check.min", "parquet.page.size.row.check.min"):
+            hadoop.unset(k)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_within_budget_against_a_plain_fold(spark, keys):
+    rng = random.Random(7)
+    rows = [(rng.choice("aaab") if keys else "a", i, rng.choice([None, 0, 1, 3, 7, 20, 60, 90, 101])) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, o long, cost long").repartition(9)
+    want, left = set(), {}
+    for k, o, c in rows:
+        if (c or 0) <= left.setdefault(k, 100):
+            left[k] -= c or 0
+            want.add((k, o))
+    kept = ordered.within_budget(df, keys, ["o"], "cost", 100)
+    assert {(r["k"], r["o"]) for r in kept.collect()} == want
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("MapInArrow") == 2  # rows are thinned before they are shuffled
+
+
 def test_text(spark):
     df = spark.createDataFrame([("a", "One\r\ntwo\x0bthree "), ("b", ""), ("c", None), ("d", "x\n\nONE one")], "k string, t string")
     got = {}
@@ -110,6 +160,15 @@ def test_text(spark):
     assert {(r["k"], r["line"], r["next_start"]) for r in page} == {("a", "two", 3), ("d", "", 3)}
     scores = text.search(df, "k", ["t"], "one", None).collect()
     assert {r["k"] for r in scores} == {"a", "d"} and all(r["score"] > 0 for r in scores)
+    ix = text.TextIndex.build(df, "k", ["t"])
+    assert {r["k"]: round(r["score"], 9) for r in ix.search("one", None).collect()} == {r["k"]: round(r["score"], 9) for r in scores}
+    assert ix.differs(df).count() == 0 and [r["k"] for r in ix.search("one x").collect()] == ["d"] == [r["k"] for r in text.search(df, "k", ["t"], "x one").collect()]
+    changed = spark.createDataFrame([("a", "four"), ("e", "one one")], "k string, t string")
+    now = df.where("k not in ('a', 'b')").unionByName(changed)
+    assert ix.differs(now).count() > 0
+    newer = ix.update(changed, spark.createDataFrame([("b",)], "k string"))
+    assert newer.differs(now).count() == 0 and {r["k"] for r in newer.search("one").collect()} == {"d", "e"}
+    assert ix.search("absent").count() == 0 == text.search(df.limit(0), "k", ["t"], "one").count()
     assert {(r["k"], r["term"], r["tf"]) for r in text.index(df, "k", ["t"]).where("k = 'd'").collect()} == {("d", "x", 1), ("d", "one", 2)}
 
 

@@ -14,7 +14,7 @@ def test_orphans_hot_keys_and_limits(spark, monkeypatch):
     count = lambda: {r["ref_id"]: r["n"] for r in R.orphans(df, parents).groupBy("ref_id").count().withColumnRenamed("count", "n").collect()}
     want = {"k1": 500, "k2": 3, "P": 1}
     assert count() == want
-    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(R, "small", lambda df: False)
     monkeypatch.setattr(R, "HOT_KEYS", 1)
     assert count() == want
     assert {r["ref_id"]: r["n"] for r in R.missing_keys(df, parents).collect()} == want
@@ -93,8 +93,9 @@ def test_snapshot_batches(spark):
 
 
 def test_snapshots_bad_documents_and_empty(spark):
-    h = spark.createDataFrame([("p", 1, None), ("p", 2, "{"), ("p", 3, '{"sources": [{"path": "a", "sha256": null}, {"path": 3}, 5]}')], "project_id string, revision long, document string")
+    h = spark.createDataFrame([("p", 0, '{"sources": []}'), ("p", 1, None), ("p", 2, "{"), ("p", 3, '{"sources": [{"path": "a", "sha256": null}, {"path": 3}, 5]}')], "project_id string, revision long, document string")
     m = spark.createDataFrame([], "id string, project_id string, revision long, path string, sha256 string, delivered_at timestamp_ntz")
     got = {tuple(r)[1:5] for r in S.map_changes(h, m).collect()}
-    assert got == {(2, 3, "a", "added")}
+    assert got == {(0, 3, "a", "added")}  # what 1 and 2 held is unknown, so nothing is said to have gone
+    assert {r["revision"] for r in S.bad_documents(h.selectExpr("*", "'s' as snapshot_id")).collect()} == {1, 2}
     assert S.map_changes(h.limit(0), m).count() == 0
