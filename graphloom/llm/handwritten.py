@@ -1,13 +1,15 @@
 """Generated, packed, third-party and data files among source files, so that hand-written source remains.
 
-Giveaways (generator headers, folder and file names, packed or literal-only layout, copies of upstream files) label a file at
-sight. From a bounded sample of labelled files two linear support-vector classifiers are trained: one on hashed character
-n-grams of the text with the giveaway comments masked, one on hashed path components. They decide on all other files. The
-thresholds are those at which files of repositories held out from training are told apart with the wanted precision.
+Three linear support-vector classifiers judge every file: on hashed character n-grams of its text, giveaway comments at its
+edges being masked, on those of these comments, and on hashed path components. Giveaways (what generators write on top,
+folder and file names, packed or literal-only layout) label the bounded sample they are trained on. Their thresholds are
+those at which files of repositories held out from training are told apart with the wanted precision. Copies of upstream
+files are found by shingles, as they look like any other code.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,26 +22,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.latest import latest_per_key
-from graphloom.session import materialize
+from graphloom.session import hinted, materialize, spread
 
 #: Hashed features of a classifier.
 FEATURES = 1 << 17
 #: Labelled files of each class that a classifier is trained on at most; those with the smallest hashes are taken.
 TRAINING = 2000
-#: Share of repositories held out, and the precision wanted on them.
-HELD_OUT, PRECISION = 0.25, 0.97
+#: Share of repositories held out; the precision wanted on them of what a classifier is sure of, and the share of
+#: giveaways there that it must find likely.
+HELD_OUT, PRECISION, RECALL = 0.25, 0.97, 0.99
 #: Shingles of so many words; similarity from which a file counts as a copy of an upstream file. TESTDATA's cases include
 #: patched copies, so this is below the usual 0.8.
 SHINGLE, SIMILAR = 5, 0.6
-#: Upstream files compared at a time; more are compared in several passes.
-BLOCK = 2000
+#: Bits of the bitmap of upstream shingles.
+BUCKETS = 1 << 22
 
-# Folders for code of others or of tools, and endings of such files' names.
+# What labels the training sample: folders for code of others or of tools, and endings of such files' names.
 FOLDERS = set("vendor third_party third-party thirdparty 3rdparty node_modules bower_components extern external deps generated __generated__ autogen gen dist out intermediate".split())
 ENDINGS = re.compile(r"([.-]min\.[cm]?js|\.bundle\.[cm]?js|\.gen\.\w+|\.generated\.\w+|[._-]generated\.\w+|\.g\.cs|\.designer\.cs|\.pb\.\w+|_pb2\.pyi?)$", re.I)
-# What generators write on top of their files, in several languages.
-HEADERS = re.compile(r"generated (by|with|from|code|file)|generated-by|@generated|auto-?generated|machine-made|(automatically|auto-?) ?(created|generated|produced)|(created|produced|emitted|made) (with|by|from) \S+ ?(\(|from|[\d.v]+\b|in |on )|output of `|\boutput, checksum|do not (modify|touch)\b|hand edits|build artifact|\bcompiler: |automatisch aus .* erzeugt|(généré|produit)e?s? par|ne pas modifier|создан программой|сгенерирован|не редактировать|自動生成|自动生成|wygenerowan|generado (por|automáticamente)|gerado (por|automaticamente)", re.I)
-
+# What labels the training sample: what generators write on top of their files, in several languages.
+HEADERS = re.compile(
+    r"generated (by|with|from|code|file)|generated-by|@generated|auto-?generated|machine-?(made|written|generated)|regenerate with"
+    r"|(automatically|auto-?) ?(created|generated|produced|written)|(created|produced|emitted|made|written) (with|by|from) \S+ ?(\(|from|[\d.v]+\b|in |on )"
+    r"|do not (modify|touch)\b|edit \S+ instead|\b(hand|manual|local) (edits|changes|modifications)\b.*(lost|overwritten)"
+    r"|\boutput(, | of `)|\bsource: .*\bcompiler: |build artifact"
+    r"|automatisch aus .* erzeugt|(généré|produit)e?s? par|ne pas modifier|создан программой|сгенерирован|не редактировать|自動生成|自动生成"
+    r"|wygenerowan|generado (por|automáticamente)|gerado (por|automaticamente)",
+    re.I,
+)
+
+_DIGITS = bytes(48 if 48 <= i < 58 else i for i in range(256))
 _COMMENT = re.compile(r"(//|/\*|\*|#(?!include|!|pragma|if|define|endif)|--)")
 _WORDS = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*(?:\"|\\?\Z)|'(?:[^'\\\n]|\\.)*(?:'|\\?\Z)|`(?:[^`\\]|\\.)*`")
@@ -64,7 +76,7 @@ def edge_comments(text: str) -> tuple[list[str], str]:
 
     top = run(iter(range(len(lines))))
     tail = []
-    for i in range(len(lines) - 1, max(len(lines) - 60, top[-1] if top else -1), -1):
+    for i in range(len(lines) - 1, top[-1] if top else -1, -1):
         s = lines[i].strip()
         if s and (lines[i][0].isspace() and not s.startswith("*") or not (_COMMENT.match(s) or s == "*/")):
             break
@@ -74,10 +86,22 @@ def edge_comments(text: str) -> tuple[list[str], str]:
     return [lines[i] for i in sorted(edge)], "\n".join(x for i, x in enumerate(lines) if i not in edge)
 
 
-def shingles(text: str) -> set[int]:
-    """Hashes of SHINGLE consecutive words of a text without comments; layout doesn't matter."""
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of SHINGLE consecutive words of a text without comments; layout doesn't matter."""
     words = _WORDS.findall(_NOTES.sub(" ", text))
-    return {zlib.crc32("\x00".join(words[i : i + SHINGLE]).encode("utf-8", "replace")) | len(words[i]) << 32 for i in range(len(words) - SHINGLE + 1)}
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.int64)
+    if len(_known) > 200_000:
+        _known.clear()
+    codes = np.array([_known[w] if w in _known else _known.setdefault(w, int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")) for w in words], dtype=np.uint64)
+    h = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(words) - SHINGLE + 1 + i]
+    return np.unique(h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+#: Hashes of words that a worker remembers.
+_known: dict[str, int] = {}
 
 
 def layout(code: str) -> str | None:
@@ -97,8 +121,8 @@ def layout(code: str) -> str | None:
 
 
 def prose(text: str) -> bool:
-    """Whether a text hardly has the marks of code; such a text in a source file is no code to be judged."""
-    return len(re.findall(r"[{}()\[\];=]", text)) < 0.015 * len(text)
+    """Whether a text hardly has the marks, quotes and digits of code or data; such a text is no code to be judged."""
+    return sum(map(text.count, '{}()[];="`')) < 0.015 * len(text) and sum(map(text.count, "0123456789")) < 0.12 * len(text)
 
 
 def path_giveaway(path: str | None) -> str | None:
@@ -107,18 +131,20 @@ def path_giveaway(path: str | None) -> str | None:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Hashes below FEATURES of the 3- to 5-grams of a text, digits being alike. A text of blanks or notes alone has none."""
-    if not _NOTES.sub("", text).strip():
+    """The distinct hashes below FEATURES of the 3- to 5-grams of a text, runs of digits being one zero. Blanks have none."""
+    if not text.strip():
         return np.zeros(0, np.int32)
-    b = np.frombuffer(re.sub(r"\d+", "0", text).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
-    found = []
-    for n in (3, 4, 5):
-        if len(b) >= n:
-            h = np.full(len(b) - n + 1, n, dtype=np.uint64)
-            for i in range(n):
-                h = h * np.uint64(1099511628211) + b[i : len(b) - n + 1 + i]
-            found.append((h ^ (h >> np.uint64(29))) % np.uint64(FEATURES))
-    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
+    b = np.frombuffer(text.encode("utf-8", "replace").translate(_DIGITS), dtype=np.uint8)
+    b = b[np.append(True, (b[1:] != 48) | (b[:-1] != 48))].astype(np.uint32)
+    seen = np.zeros(FEATURES, dtype=bool)
+    h = b
+    for n in range(2, 6):
+        if len(b) < n:
+            break
+        h = h[:-1] * np.uint32(16777619) ^ b[n - 1 :] * np.uint32(2654435761)
+        if n >= 3:
+            seen[(h ^ (h >> np.uint32(15))) & np.uint32(FEATURES - 1)] = True
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 def path_features(path: str | None) -> np.ndarray:
@@ -132,22 +158,26 @@ def path_features(path: str | None) -> np.ndarray:
 
 @dataclass
 class Classifier:
+    """A linear classifier of hashed features. A file whose score reaches `sure` is reported; one with a giveaway is reported
+    from `likely` on. Untrained, it has a score of 0 for all, is never sure and finds any giveaway likely."""
+
     weights: np.ndarray
-    bias: float
-    threshold: float
+    bias: float = 0.0
+    sure: float = float("inf")
+    likely: float = float("-inf")
 
     def score(self, features: np.ndarray) -> float:
         """Minus infinity without features: there is nothing to judge."""
         if not len(features):
             return float("-inf")
-        return float(self.weights[features].sum() / max(1.0, len(features)) ** 0.5 + self.bias)
+        return float(self.weights[features].sum() / len(features) ** 0.5 + self.bias)
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, held_out: np.ndarray, epochs: int = 12, penalty: float = 1e-5) -> Classifier:
-    """A linear support-vector classifier by stochastic subgradients on the hinge loss, the classes weighing the same; the
-    threshold is the lowest at which PRECISION holds on the held-out rows, at least 0. Fewer than 10 rows of a class to
-    train on: a classifier that takes none."""
-    model = Classifier(np.zeros(FEATURES, np.float32), 0.0, float("inf"))
+    """A linear support-vector classifier by stochastic subgradients on the hinge loss, the classes weighing the same. On
+    the held-out rows, `sure` is the lowest threshold (at least 0) with PRECISION, and `likely` lets RECALL of the positives
+    pass. Fewer than 10 rows of a class to train on: an untrained classifier."""
+    model = Classifier(np.zeros(FEATURES, np.float32))
     used = np.flatnonzero(~held_out)
     positive = int(labels[used].sum())
     if min(positive, len(used) - positive) < 10:
@@ -176,52 +206,68 @@ def train(rows: list[np.ndarray], labels: np.ndarray, held_out: np.ndarray, epoc
     order = np.argsort(-scores)
     hits = np.cumsum(labels[check][order])
     good = [scores[order[k]] for k in range(len(order)) if scores[order[k]] > 0 and hits[k] >= PRECISION * (k + 1)]
-    model.threshold = max(0.0, min(good)) if good else float("inf")
+    model.sure = max(0.0, min(good)) if good else float("inf")
+    passed = np.sort(scores[labels[check].astype(bool) & np.isfinite(scores)])
+    if len(passed):
+        model.likely = min(model.sure, float(passed[int((1 - RECALL) * len(passed))]))
     return model
 
 
-def _signals(upstream: list[tuple[set[int], int]], first: bool):
-    index: dict[int, list[int]] = {}
-    for i, (marks, _) in enumerate(upstream):
-        for m in marks:
-            index.setdefault(m, []).append(i)
+def _signals(buckets: np.ndarray):
+    """Per text: what gives it away, whether it has comments at its edges and, if as many of its shingles are in the buckets
+    as a copy of an upstream file must share, its shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            rows = []
             for text in batch["content"]:
-                signal = None
+                edge, code = edge_comments(text)
+                bare = _NOTES.sub("", code)
                 marks = shingles(text)
-                shared = np.bincount([i for m in marks for i in index.get(m, ())] or [0], minlength=1)
-                if shared.any() and any(n and n >= SIMILAR * (len(marks) + upstream[i][1] - n) for i, n in enumerate(shared) if n):
-                    signal = "copy"
-                elif first:
-                    edge, code = edge_comments(text)
-                    if any(HEADERS.search(x) for x in edge):
-                        signal = "header"
-                    else:
-                        signal = layout(_NOTES.sub("", code))
-                out.append(signal)
-            yield pd.DataFrame({"sha256": batch["sha256"], "signal": out, "content": batch["content"]})
+                shared = buckets[marks & (len(buckets) - 1)] if len(buckets) else np.zeros(0, bool)
+                close = len(marks) > 0 and shared.sum() >= SIMILAR * len(marks)
+                rows.append(("header" if any(HEADERS.search(x) for x in edge) else layout(bare), bool(edge), bool(bare.strip()) and not prose(code), len(marks), marks[shared] if close else None))
+            yield pd.DataFrame({"sha256": batch["sha256"], **{n: [r[i] for r in rows] for i, n in enumerate(("signal", "noted", "coded", "n_marks", "marks"))}})
 
     return run
 
 
+def _upstream_marks(upstream: DataFrame) -> DataFrame:
+    """file, n_marks and mark: the shingles of each upstream text once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = [shingles(x) for x in batch["content"]]
+            yield pd.DataFrame({"file": batch["file"], "n_marks": [len(x) for x in marks], "marks": marks})
+
+    texts = upstream.where("content is not null").select("content").distinct().select(F.sha2("content", 256).alias("file"), "content")
+    return texts.mapInPandas(run, "file string, n_marks long, marks array<long>").select("file", "n_marks", F.explode("marks").alias("mark"))
+
+
 def text_signals(texts: DataFrame, upstream: DataFrame) -> DataFrame:
-    """texts (sha256, content) with signal: `copy` of an upstream file (content), `header`, `data`, `packed` or null."""
-    names = upstream.where("content is not null").select("content")
-    count = names.count()
-    blocks = max(1, -(-count // BLOCK))
-    for k in range(blocks):
-        rows = names.where(F.pmod(F.xxhash64("content"), F.lit(blocks)) == k) if blocks > 1 else names
-        marks = [(s, len(s)) for (t,) in rows.toLocalIterator() if (s := shingles(t))]
-        done = texts.select("sha256", "content").mapInPandas(_signals(marks, k == 0), "sha256 string, signal string, content string")
-        if k == 0:
-            found = done
-        else:
-            found = found.join(done.where("signal is not null").select("sha256", F.lit("copy").alias("_copy")), "sha256", "left")
-            found = found.select("sha256", F.coalesce("_copy", "signal").alias("signal"), "content")
-    return found
+    """Per text (sha256, content): sha256, signal (`copy` of an upstream file, `header`, `data`, `packed` or null), noted (has
+    comments at its edges) and coded (has code to be judged).
+
+    A copy shares SIMILAR of its distinct shingles with one upstream file, of both files' together. A bitmap of fixed size of
+    all upstream shingles tells which texts may; only their shingles are joined with those of the upstream files, so
+    upstream may have any number of files.
+    """
+    marks = materialize(_upstream_marks(upstream))
+    buckets = np.zeros(BUCKETS, dtype=bool)
+    bucket = F.col("mark").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    for r in marks.select(F.shiftright(bucket, 16).alias("h"), bucket.alias("b")).distinct().groupBy("h").agg(F.collect_list("b").alias("b")).toLocalIterator():
+        buckets[r["b"]] = True
+    session = texts.sparkSession
+    held = session.sparkContext.broadcast(buckets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _signals(held.value)(batches)
+
+    seen = materialize(texts.select("sha256", "content").mapInPandas(run, "sha256 string, signal string, noted boolean, coded boolean, n_marks long, marks array<long>"))
+    own = seen.where("marks is not null").select("sha256", F.col("n_marks").alias("n"), F.explode("marks").alias("mark"))
+    pairs = own.join(marks, "mark").groupBy("sha256", "file").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("n_marks").alias("m"))
+    copies = pairs.where(F.col("k") >= SIMILAR * (F.col("n") + F.col("m") - F.col("k"))).select("sha256").distinct().withColumn("_copy", F.lit("copy"))
+    return seen.drop("marks", "n_marks").join(copies, "sha256", "left").withColumn("signal", F.coalesce("_copy", "signal")).drop("_copy")
 
 
 def _sample(files: DataFrame, label: str) -> DataFrame:
@@ -230,36 +276,32 @@ def _sample(files: DataFrame, label: str) -> DataFrame:
     return labelled.where(label).orderBy("_h").limit(TRAINING).unionByName(labelled.where(~F.col(label)).orderBy("_h").limit(2 * TRAINING))
 
 
-def _fit(sample: DataFrame, label: str, text: bool) -> Classifier:
+VIEWS = {"text": lambda row: ngrams(edge_comments(row)[1]), "notes": lambda row: ngrams("\n".join(edge_comments(row)[0])), "path": path_features}
+
+
+def _fit(sample: DataFrame, label: str, view: str) -> Classifier:
     """Train on a sample: its features are made in parallel, then one task trains, and only the weights reach the driver."""
+    column = "path" if view == "path" else "content"
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [ngrams(edge_comments(x)[1]) for x in batch["content"]] if text else [path_features(x) for x in batch["path"]]
-            yield pd.DataFrame({"project_id": batch["project_id"].fillna(""), "label": batch[label], "features": [r.astype(np.int32).tobytes() for r in rows]})
+            yield pd.DataFrame({"project_id": batch["project_id"].fillna(""), "label": batch[label], "features": [VIEWS[view](x).astype(np.int32).tobytes() for x in batch[column]]})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"project_id": [], "label": [], "features": []}), *batches])
         got = got.sort_values(["project_id", "label", "features"])
         held = np.array([zlib.crc32(f"held {p}".encode()) % 1000 < HELD_OUT * 1000 for p in got["project_id"]], dtype=bool)
         model = train([np.frombuffer(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=bool), held)
-        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [float(model.bias)], "threshold": [float(model.threshold)]})
-
-    columns = ["id", "project_id", label, "content" if text else "path"]
-    rows = sample.select(*columns).mapInPandas(features, "project_id string, label boolean, features binary").repartition(1)
-    r = rows.mapInPandas(fit, "weights binary, bias double, threshold double").first()
-    return Classifier(np.frombuffer(bytes(r["weights"]), dtype=np.float32), r["bias"], r["threshold"])
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [float(model.bias)], "sure": [float(model.sure)], "likely": [float(model.likely)]})
 
+    rows = sample.select("id", "project_id", label, column).mapInPandas(features, "project_id string, label boolean, features binary").repartition(1)
+    r = rows.mapInPandas(fit, "weights binary, bias double, sure double, likely double").first()
+    return Classifier(np.frombuffer(bytes(r["weights"]), dtype=np.float32), r["bias"], r["sure"], r["likely"])
 
-def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
-    """Included source files that aren't hand-written for their repository: source_id, project_id, path, reason.
 
-    sample_map: the current row of an id is the one with the latest delivered_at; its category must be `source`, case and
-    blanks aside, and included true. texts: sha256, content (one row per hash). upstream: content, sha256 if known. reason is
-    a giveaway (`copy`, `header`, `data`, `packed`, `folder`, `name`) or a classifier (`text`, `path`). Exact copies of
-    upstream files have no text and are told by their hash, its case aside. Other files without text, or with an empty one,
-    count by their path. All files are judged; only the training samples are bounded.
-    """
+def labelled_files(sample_map: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
+    """The files to be judged, written: id, project_id, path, sha256, giveaway (of the path), signal (of the text), noted,
+    coded, has_text, and by view the label of files that may be trained on: by_text, by_notes, by_path."""
     current = latest_per_key(sample_map, ["id"], ["delivered_at"], ["project_id", "path", "category", "included", "sha256"])
     wanted = current.where("included and lower(trim(category)) = 'source'").select("id", "project_id", "path", "sha256")
 
@@ -267,40 +309,70 @@ def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: Data
         return paths.map(path_giveaway)
 
     wanted = materialize(wanted.withColumn("giveaway", F.pandas_udf(by_path, "string")("path")))
-    session = wanted.sparkSession
-    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
-    needed = wanted.where("sha256 is not null").select("sha256").distinct().repartition(n, "sha256")
-    some = texts.where("length(content) > 0").select("sha256", "content").repartition(n, "sha256")
-    signals = materialize(text_signals(some.hint("merge").join(needed, "sha256", "left_semi"), upstream))
-    files = wanted.join(signals.select("sha256", "signal", F.lit(True).alias("has_text")), "sha256", "left")
+    needed = materialize(wanted.where("sha256 is not null").select("sha256").distinct(), measured=True)
+    some = spread(texts.where("length(content) > 0").select("sha256", "content")).join(hinted(needed), "sha256", "left_semi")
+    signals = text_signals(some, upstream)
+    files = wanted.join(signals.withColumn("has_text", F.lit(True)), "sha256", "left")
     if "sha256" in upstream.columns:
         hashes = upstream.where("sha256 is not null").select(F.lower("sha256").alias("_hash")).distinct()
         files = files.join(hashes.withColumn("_exact", F.lit("copy")), F.lower("sha256") == F.col("_hash"), "left")
         files = files.withColumn("signal", F.coalesce("_exact", "signal")).drop("_hash", "_exact")
-    files = materialize(files.withColumn("has_text", F.coalesce("has_text", F.lit(False))))
+    clean = F.col("has_text") & F.col("signal").isNull() & F.col("giveaway").isNull()
+    odd = F.col("signal").isin("header", "data", "packed") | F.col("giveaway").eqNullSafe("name") & F.col("has_text")
+    files = files.withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+    # copies and files in others' folders look like any other code, so their texts teach nothing
+    return materialize(files.select(
+        "id", "project_id", "path", "sha256", "giveaway", "signal", "has_text",
+        F.when(F.coalesce("coded", F.lit(False)) | odd, F.when(F.coalesce(odd, F.lit(False)), True).when(clean, False)).alias("by_text"),
+        F.when(F.col("noted"), F.when(F.col("signal") == "header", True).when(clean, False)).alias("by_notes"),
+        F.when(F.col("giveaway").isNotNull(), True).when(clean, False).alias("by_path"),
+    ))
 
-    # the text classifier: giveaways of any kind against files without; copies and folders' files look like any other
-    label = F.when(F.col("has_text"), F.when(F.col("signal").isin("header", "data", "packed") | F.col("giveaway").eqNullSafe("name"), True).when(F.col("signal").isNull() & F.col("giveaway").isNull(), False))
-    chosen = _sample(files.withColumn("by_text", label), "by_text")
-    chosen = chosen.select("id", "project_id", "by_text", "sha256").join(signals.select("sha256", "content"), "sha256")
-    on_text = session.sparkContext.broadcast(_fit(chosen, "by_text", True))
-    # the path classifier: what texts and names give away
-    label = F.when(F.col("giveaway").isNotNull() | F.col("signal").isNotNull(), True).when(F.col("has_text"), False)
-    on_path = session.sparkContext.broadcast(_fit(_sample(files.withColumn("by_path", label), "by_path"), "by_path", False))
+
+def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Included source files that aren't hand-written for their repository: source_id, project_id, path, reason.
+
+    sample_map: the current row of an id is the one with the latest delivered_at; its category must be `source`, case and
+    blanks aside, and included true. texts: sha256, content (one row per hash). upstream: content, sha256 if known.
+
+    Three classifiers judge every file, trained on a sample that giveaways label: of its text without the comments at its
+    edges (reason `text`), of these comments (`notes`), of its path (`path`). Where none is sure, an exact check follows: a
+    giveaway (`header`, `data`, `packed`, `folder`, `name`) counts if its classifier finds it likely. Copies of upstream
+    files are found by their shingles or, having no text, by their hash, its case aside (`copy`). Files without text, or
+    with an empty one, count by their path. All files are judged; only the training samples are bounded.
+    """
+    files = labelled_files(sample_map, texts, upstream)
+    session = files.sparkSession
+    contents = texts.where("length(content) > 0").select("sha256", "content")
+    models = {}
+    for view in VIEWS:
+        sample = materialize(_sample(files, f"by_{view}").select("id", "project_id", "path", "sha256", f"by_{view}"))
+        if view != "path":  # at most 3 x TRAINING rows
+            sample = contents.join(F.broadcast(sample), "sha256")
+        models[view] = _fit(sample, f"by_{view}", view)
+    trained = session.sparkContext.broadcast(models)
 
     def judge_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = on_text.value
+        text, notes = trained.value["text"], trained.value["notes"]
         for batch in batches:
-            codes = [edge_comments(x)[1] for x in batch["content"]]
-            said = [not prose(x) and model.score(ngrams(x)) >= model.threshold for x in codes]
-            yield batch.loc[np.array(said, dtype=bool), ["sha256"]]
-
-    def judge_paths(paths: pd.Series) -> pd.Series:
-        model = on_path.value
-        return paths.map(lambda p: model.score(path_features(p)) >= model.threshold).astype(bool)
-
-    odd = signals.where("signal is null").select("sha256", "content").mapInPandas(judge_texts, "sha256 string").withColumn("odd", F.lit(True))
-    judged = files.join(odd, "sha256", "left")
-    path_says = F.when(~F.col("has_text") & F.col("giveaway").isNull(), F.pandas_udf(judge_paths, "boolean")("path"))
-    reason = F.coalesce("signal", "giveaway", F.when(F.col("odd"), "text"), F.when(path_says, "path"))
-    return judged.select(F.col("id").alias("source_id"), "project_id", "path", reason.alias("reason")).where("reason is not null")
+            rows = []
+            for content in batch["content"]:
+                edge, code = edge_comments(content)
+                bare = bool(_NOTES.sub("", code).strip())
+                a = text.score(ngrams(code)) if bare and not prose(code) else float("-inf")
+                b = notes.score(ngrams("\n".join(edge))) if edge else float("-inf")
+                rows.append(("notes" if b >= notes.sure else "text" if a >= text.sure else None, a >= text.likely or not bare, b >= notes.likely))
+            yield pd.DataFrame({"sha256": batch["sha256"], **{n: [r[i] for r in rows] for i, n in enumerate(("said", "text_likely", "notes_likely"))}})
+
+    def judge_paths(paths: pd.Series) -> pd.DataFrame:
+        model = trained.value["path"]
+        scores = [model.score(path_features(p)) for p in paths]
+        return pd.DataFrame({"sure": [s >= model.sure for s in scores], "likely": [s >= model.likely for s in scores]})
+
+    needed = materialize(files.where("has_text").select("sha256").distinct(), measured=True)
+    judged = spread(contents).join(hinted(needed), "sha256", "left_semi").mapInPandas(judge_texts, "sha256 string, said string, text_likely boolean, notes_likely boolean")
+    both = files.join(judged, "sha256", "left").withColumn("on_path", F.pandas_udf(judge_paths, "sure boolean, likely boolean")("path"))
+    exact = F.when((F.col("signal") == "header") & F.col("notes_likely"), "header").when(F.col("signal").isin("data", "packed") & F.col("text_likely"), F.col("signal"))
+    exact = F.coalesce(exact, F.when(F.col("on_path.likely"), F.col("giveaway")))
+    reason = F.coalesce(F.when(F.col("signal") == "copy", "copy"), "said", F.when(F.col("on_path.sure"), "path"), exact)
+    return both.select(F.col("id").alias("source_id"), "project_id", "path", reason.alias("reason")).where("reason is not null")
