@@ -207,6 +207,17 @@ def percentiles(summaries: DataFrame, keys: list[str], shares: dict[str, float])
     return summaries.mapInArrow(run, names)
 
 
+def weighted_values(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Summaries as plain rows, which any engine can add up and combine: keys, value, weight (how many values it stands for)
+    and max_rank_error of the summary. Equal values of a summary are one row. The value at rank k of a group is the least
+    whose weight, with those of all lesser ones, reaches k."""
+    size = F.coalesce(F.size("buffered") / F.nullif(F.size("weights"), F.lit(0)), F.lit(1)).cast("int")
+    collapsed = F.transform("buffered", lambda x, i: F.struct(x.alias("value"), F.element_at("weights", (F.floor(i / size) + 1).cast("int")).alias("weight")))
+    loose = F.transform("loose", lambda x: F.struct(x.alias("value"), F.lit(1).cast("long").alias("weight")))
+    rows = summaries.select(*keys, F.col("error").alias("max_rank_error"), F.explode(F.concat(collapsed, loose)).alias("_v"))
+    return rows.groupBy(*keys, "max_rank_error", "_v.value").agg(F.sum("_v.weight").alias("weight"))
+
+
 def calls_once(calls: DataFrame) -> DataFrame:
     """tool, phase, day (of started, in UTC) and elapsed_ms of each call with a usable time, repeated ids once.
 

@@ -25,7 +25,7 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = syntax.invalid_files(syntax.current_files(table(spark, d, "files")), table(spark, d, "source_texts"))
+    found = syntax.invalid_files(syntax.current_files(table(spark, d, "files")), table(spark, d, "source_texts"), costs=False)
     return found.select(F.col("id").alias("file_id"))
 
 
@@ -46,6 +46,12 @@ def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(_daily(spark, d), ["tool", "phase", "day"], SHARES)
 
 
+def p4_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of each day to be combined later: of tool, phase and day the values of the summary, each with the number
+    of values it stands for."""
+    return quantiles.weighted_values(_daily(spark, d), ["tool", "phase", "day"])
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(_daily(spark, d), ["tool", "phase"]), ["tool", "phase"], SHARES)
 
@@ -66,7 +72,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id", "restored", "fully", "steps")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_damage, p2_rates, p4_percentiles, p4_daily, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_damage, p2_rates, p4_summaries, p4_percentiles, p4_daily, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 def _exact(keys: str) -> str:
@@ -78,5 +84,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY elapsed_ms)
 SELECT {keys}, n, {shares}, CAST(0 AS DOUBLE) AS max_rank_error FROM ranked GROUP BY {keys}, n"""
 
 
-#: Up to quantiles.SIZE values a group's percentiles are exact; SQL has the exact ones.
-SQL = {"p4_percentiles": _exact("tool, phase"), "p4_daily": _exact("tool, phase, day")}
+#: Up to quantiles.SIZE values a group's summary and percentiles are exact; SQL has the exact ones.
+SQL = {
+    "p4_summaries": """WITH once AS (SELECT id, max(elapsed_ms) AS elapsed_ms, max(tool) AS tool, max(phase) AS phase,
+    CAST(make_timestamp(CAST(floor(max(started)) AS BIGINT) * 1000000) AS DATE) AS day
+  FROM calls WHERE elapsed_ms >= 0 AND NOT isnan(elapsed_ms) GROUP BY id)
+SELECT tool, phase, day, elapsed_ms AS value, count(*) AS weight, CAST(0 AS DOUBLE) AS max_rank_error FROM once GROUP BY ALL""",
+    "p4_percentiles": _exact("tool, phase"),
+    "p4_daily": _exact("tool, phase, day"),
+}
