@@ -42,8 +42,8 @@ MISREAD = {
 }
 #: What a step costs, so that a change must earn something.
 STEP = 0.5
-#: Steps a text may have gone through, counting encode and decode as one.
-DEPTH = 4
+#: The step that leaves out characters of which nothing but a replacement character is left.
+LOST = "lost"
 #: What a whole text must become cheaper by to count.
 GAIN = 2.5
 
@@ -234,6 +234,8 @@ def _steps(text: str) -> Iterator[tuple[str, str, bool]]:
     UTF-8 between."""
     if _ENTITY.search(text):
         yield html.unescape(text), "unescape", True
+    if "�" in text:
+        yield text.replace("�", ""), LOST, False
     tried: dict[bytes, str] = {}
     for wrong, written in MISREAD.items():
         data = _encode(text, wrong)
@@ -267,25 +269,27 @@ def _lone(text: str) -> float:
     return extra
 
 
-def restore(text: str, depth: int = DEPTH) -> tuple[str, float, str]:
-    """(cheapest reachable text, how much cheaper it is, the steps to it)."""
+def restore(text: str) -> tuple[str, float, str]:
+    """(cheapest reachable text, how much cheaper it is, the steps to it).
+
+    All states that can be reached are visited, the cheapest first, each once. There is an end to them: only decoding as
+    UTF-8 and unescaping lead to states that are expanded, and both make the text shorter.
+    """
     start = cost(text)
     best = (start, text, "")
     queue = [(start, 0, text, "")]
     visited = {hash(text)}
     while queue:
-        at, steps, state, path = heapq.heappop(queue)
-        if steps >= depth:
-            continue
+        _, steps, state, path = heapq.heappop(queue)
         for got, step, more in _steps(state):
             if (key := hash(got)) in visited:
                 continue
             visited.add(key)
-            priced = cost(got) + STEP * (steps + 1) + _lone(got)
+            priced = cost(got) + STEP * (steps + 1) + (_lone(got) if step != LOST else 0.0)
             way = f"{path} {step}".strip()
             if priced < best[0]:
                 best = (priced, got, way)
-            if more and priced < at + STEP:
+            if more:
                 heapq.heappush(queue, (priced, steps + 1, got, way))
     return best[1], start - best[0], best[2]
 
@@ -323,8 +327,8 @@ def _restored(stretch: str) -> tuple[str, float, str]:
 def _apply(stretch: str, path: str) -> str | None:
     """The text that the steps of path make of a stretch, if they can be taken."""
     for step in path.split():
-        if step == "unescape":
-            stretch = html.unescape(stretch)
+        if step in ("unescape", LOST):
+            stretch = html.unescape(stretch) if step == "unescape" else stretch.replace("�", "")
             continue
         wrong, right = step.split(">")
         data = _encode(stretch, wrong)
@@ -389,12 +393,12 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
         if quoted or not _worth(stretch):
             continue
         _, gain, path = _restored(stretch)
-        if path and gain > 0:
+        if path == LOST:  # nothing to be restored: the stretch stays as it is
+            lost |= gain >= GAIN
+        elif path and gain > 0:
             paths[path] += gain
-        elif "�" in stretch:
-            lost = True
     total, used, pieces, last = 0.0, set(), [], 0
-    ways = [p for p, _ in paths.most_common(6)]
+    ways = [p for p, _ in paths.most_common()]
     lines = {}
     for a, b, quoted in found if ways else []:
         if quoted:
@@ -402,7 +406,7 @@ def analyse(text: str | None) -> tuple[bool, str | None, float, str]:
         stretch = text[a:b]
         before = cost(_bare(stretch))
         options = [(cost(got) + STEP * len(w.split()) / 4 + _lone(got), got, w) for w in ways if (got := _apply(stretch, w)) is not None]
-        if _worth(stretch) and (own := _restored(stretch))[1] > 0:
+        if _worth(stretch) and (own := _restored(stretch))[1] > 0 and own[2] != LOST:
             options.append((before - own[1], own[0], own[2]))
         priced, got, way = min(options, default=(before, stretch, ""))
         line = text.rfind("\n", 0, a)
@@ -436,7 +440,7 @@ def find_garbled(texts: DataFrame) -> DataFrame:
                 found, restored, gain, steps = analyse(text)
                 if found:
                     keep.append(i)
-                    fully = not any(odd(restored[a:b]) for a, b, quoted in _stretches(restored) if not quoted)
+                    fully = LOST not in steps and not any(odd(restored[a:b]) for a, b, quoted in _stretches(restored) if not quoted)
                     rows.append((restored, fully, gain, steps))
             columns = [batch.column("doc_id").take(pa.array(keep, pa.int64()))]
             columns += [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.bool_(), pa.float64(), pa.string()))]

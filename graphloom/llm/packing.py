@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,9 @@ CAPACITY = 2048
 #: Items that are packed together, on average; a container holds items of one shard.
 SHARD = 4096
 #: Islands (populations of solutions) per shard, solutions per island, generations between migrations, migrations.
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 6, 8, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 6, 8, 4
+#: Bins with room that are offered an exchange when items are packed again.
+EXCHANGES = 16
 
 
 def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int) -> np.ndarray:
@@ -58,8 +60,60 @@ def greedy(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.ndar
     return tidy(sizes, (best_fit(sizes, order, bins, np.zeros(0, np.int64), capacity), bins)[1])
 
 
-def repack(sizes: np.ndarray, bins: np.ndarray, out: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Take the items in the mask `out` out of their bins and best-fit them again, the longest first."""
+def _exchange(have: list[int], room: int, pool: list[int]) -> tuple[list[int], list[int]] | None:
+    """Which one or two of the sizes in a bin (places in have) to give for one or two of the pool (sorted; places in it), so
+    that the bin becomes as full as can be, by at least one. None if no exchange fills it better."""
+    best, found = 0, None
+    for i, a in enumerate(have):
+        k = bisect_right(pool, a + room) - 1
+        if k >= 0 and pool[k] - a > best:
+            best, found = pool[k] - a, ([i], [k])
+        for j in range(i + 1, len(have)):
+            pair = a + have[j]
+            k = bisect_right(pool, pair + room) - 1
+            if k >= 0 and pool[k] - pair > best:  # one for two
+                best, found = pool[k] - pair, ([i, j], [k])
+            low, high = 0, len(pool) - 1
+            while low < high:
+                total = pool[low] + pool[high]
+                if total > pair + room:
+                    high -= 1
+                    continue
+                if total - pair > best:
+                    best, found = total - pair, ([i, j], [low, high])
+                low += 1
+            if best == room:
+                return found
+    return found
+
+
+def exchanged(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, out: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Before the items out (none of them in a bin) are packed again: up to EXCHANGES bins with room give one or two items
+    for larger ones among them, so that what remains to be packed is smaller. bins and fill are changed; the items that are
+    out then are returned."""
+    pool = sorted((int(sizes[i]), int(i)) for i in out)
+    for b in rng.permutation(np.flatnonzero((fill > 0) & (fill < capacity)))[:EXCHANGES]:
+        members = np.flatnonzero(bins == b)
+        have = [int(sizes[i]) for i in members]
+        got = _exchange(have, capacity - int(fill[b]), [s for s, _ in pool])
+        if got is None:
+            continue
+        give, take = got
+        chosen = [pool[k] for k in take]
+        for k in sorted(take, reverse=True):
+            del pool[k]
+        for k in give:
+            bins[members[k]] = -1
+            insort(pool, (have[k], int(members[k])))
+        for s, i in chosen:
+            bins[i] = b
+        fill[b] += sum(s for s, _ in chosen) - sum(have[k] for k in give)
+    return np.array([i for _, i in pool], dtype=np.int64)
+
+
+def repack(sizes: np.ndarray, bins: np.ndarray, out: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Take the items in the mask `out` out of their bins, exchange them for smaller ones where that fills a bin better, and
+    best-fit what is out then, the longest first."""
     bins = bins.copy()
     bins[out] = -1
     kept = ~out
@@ -67,7 +121,7 @@ def repack(sizes: np.ndarray, bins: np.ndarray, out: np.ndarray, capacity: int)
         bins[kept], fill = tidy(sizes[kept], bins[kept])
     else:
         fill = np.zeros(0, np.int64)
-    displaced = np.flatnonzero(out)
+    displaced = exchanged(sizes, bins, fill, np.flatnonzero(out), capacity, rng)
     best_fit(sizes, displaced[np.argsort(-sizes[displaced], kind="stable")], bins, fill, capacity)
     return tidy(sizes, bins)
 
@@ -81,7 +135,7 @@ def crossover(sizes: np.ndarray, a: tuple, b: tuple, capacity: int, rng: np.rand
     injected = np.isin(other, chosen)
     touched = np.isin(bins, bins[injected])
     joint = np.where(injected, other + len(fill), bins)
-    return repack(sizes, joint, touched & ~injected, capacity)
+    return repack(sizes, joint, touched & ~injected, capacity, rng)
 
 
 def mutate(sizes: np.ndarray, a: tuple, capacity: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +143,7 @@ def mutate(sizes: np.ndarray, a: tuple, capacity: int, rng: np.random.Generator)
     bins, fill = a
     worst = np.argsort(fill, kind="stable")[: max(1, len(fill) // 50)]
     some = rng.integers(0, len(fill), max(1, len(fill) // 50))
-    return repack(sizes, bins, np.isin(bins, np.concatenate([worst, some])), capacity)
+    return repack(sizes, bins, np.isin(bins, np.concatenate([worst, some])), capacity, rng)
 
 
 def evolve(sizes: np.ndarray, population: list[tuple], capacity: int, rng: np.random.Generator, generations: int) -> list[tuple]:

@@ -157,6 +157,48 @@ def test_genetic_steps_keep_items():
     assert len(best[1]) <= len(a[1])
 
 
+def evolved(sizes, capacity, seed):
+    """Best-fit's and the islands' number of containers, with the settings of production."""
+    rngs = [np.random.default_rng([seed, i]) for i in range(packing.ISLANDS)]
+    orders = [[np.argsort(-sizes * r.uniform(1 - x, 1 + x, len(sizes)), kind="stable") for x in np.linspace(0, 0.5, packing.POPULATION)] for r in rngs]
+    islands = [[packing.greedy(sizes, o, capacity) for o in each] for each in orders]
+    first = min(len(s[1]) for s in islands[0][:1])
+    for _ in range(packing.EPOCHS):
+        islands = [packing.evolve(sizes, p, capacity, r, packing.GENERATIONS) for p, r in zip(islands, rngs)]
+        islands = [[islands[(i + 1) % len(islands)][0], *p[:-1]] for i, p in enumerate(islands)]
+    return first, min(len(p[0][1]) for p in islands)
+
+
+def test_evolution_beats_best_fit():
+    """Triplets that fill a container exactly: best-fit needs 47 containers for what fits into 40, the islands 42 at most."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(40):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        plain, better = evolved(np.array(sizes), 1000, seed)
+        print(f"best-fit {plain}, evolved {better}, bound 40")
+        assert 40 <= better <= plain - 4
+
+
+def test_exchange_against_all():
+    rng = random.Random(6)
+    for _ in range(200):
+        have = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 5))]
+        pool = sorted(rng.randrange(1, 60) for _ in range(rng.randrange(0, 6)))
+        room = rng.randrange(1, 20)
+        give = [[i] for i in range(len(have))] + [[i, j] for i in range(len(have)) for j in range(i + 1, len(have))]
+        take = [[k] for k in range(len(pool))] + [[k, m] for k in range(len(pool)) for m in range(k + 1, len(pool))]
+        gains = [sum(pool[k] for k in t) - sum(have[i] for i in g) for g in give for t in take if len(t) <= len(g)]
+        best = max([x for x in gains if 0 < x <= room], default=0)
+        got = packing._exchange(have, room, pool)
+        assert (got is None) == (best == 0)
+        if got:
+            assert sum(pool[k] for k in got[1]) - sum(have[i] for i in got[0]) == best
+
+
 # ------------------------------------------------------------------ garbled text
 
 CLEAN = ["Größe und Länge der Tabelle ändern sich.", "L’appel à la clé supprimée – déjà vu…", "Проверка ссылок завершена, ошибок нет.", "请重新领取任务，旧的租约已经过期。", "レビュー担当者はこの関数を確認する必要があります。", "Później usuniemy także pustą gałąź.", "NÃO EXCLUIR: AÇÃO EM SÃO TOMÉ.", "f(x) = √(x² + y²) ≤ ½", "├── src\n│   └── a.py", "µs vs ms: 5 µs ± 3 %", "plain ascii", "Ελληνικά 日本 עברית عربي", "😀👩‍👩‍👧 emoji"]
@@ -201,6 +243,18 @@ def test_garbled_beside_chinese_as_entities_and_in_brackets():
         assert mojibake.analyse(text)[:2] == (False, text)
 
 
+def test_search_is_complete():
+    """Against every way of steps up to three: none reaches a cheaper text."""
+    for text in ("fÃ¼r", "Ã\x83Â¼ber", "Ð¿ÑÐ¸Ð²ÐµÑ", "ÏÅ¸", "f&Atilde;&frac14;r", "It�s", garble(garble("źródło", "cp1252"), "latin-1")):
+        least, todo = mojibake.cost(text), [(text, 0, True)]
+        while todo:
+            state, n, more = todo.pop()
+            for got, step, on in mojibake._steps(state) if more and n < 3 else ():
+                least = min(least, mojibake.cost(got) + mojibake.STEP * (n + 1) + (step != mojibake.LOST) * mojibake._lone(got))
+                todo.append((got, n + 1, on))
+        assert abs(mojibake.cost(text) - mojibake.restore(text)[1] - least) < 1e-9
+
+
 def test_find_garbled(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "fÃ¼r später geÃ¤ndert"), (3, "fÃ¼r später geÃ¤ndert"), (4, "ok"), (5, "x" * 100_000 + " dÃ©jÃ\xa0 supprimÃ©")], "doc_id long, text string").selectExpr("*", "1 as gain")
     got = mojibake.find_garbled(df).collect()
