@@ -174,20 +174,44 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (src, dst) left when nodes without in- or without out-edges are gone, in time linear in the edges."""
+    edges = [e for batch in batches for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    out: dict[str, set[str]] = {}
+    into: dict[str, set[str]] = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+    loose = [x for x in out.keys() | into.keys() if not out.get(x) or not into.get(x)]
+    while loose:
+        x = loose.pop()
+        for y in out.pop(x, ()):
+            into[y].discard(x)
+            if not into[y]:
+                loose.append(y)
+        for y in into.pop(x, ()):
+            if y in out:
+                out[y].discard(x)
+                if not out[y]:
+                    loose.append(y)
+    left = [(a, b) for a, several in out.items() for b in several]
+    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in left], pa.string()) for i in (0, 1)], ["src", "dst"])
+
+
 def peeled(edges: DataFrame) -> DataFrame:
     """The edges left after nodes without in- or without out-edges are taken away again and again: none if the graph has
-    no circle. What remains lies on circles or on ways between them."""
-    rest = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    n = rest.count()
-    while n:
+    no circle. What remains lies on circles or on ways between them. Up to TASK_EDGES edges that are left, one task finishes."""
+    rest = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), measured=True)
+    n = weight(rest)[0]
+    while n > TASK_EDGES:
         kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        rest = materialize(kept.select("src", "dst"))
-        m = rest.count()
+        rest = materialize(kept.select("src", "dst"), measured=True)
+        m = weight(rest)[0]
         if m == n:
-            break
+            return rest
         n = m
-    return rest
+    return materialize(rest.coalesce(1).mapInArrow(_peel, "src string, dst string")) if n else rest
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -104,7 +104,8 @@ def call_circles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def containment_left(spark: SparkSession, d: str) -> DataFrame:
-    return graph.peeled(_edges(spark, d).where("kind = 'contains'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    """The links to parents that lie on circles or on ways between them."""
+    return graph.peeled(_nodes(spark, d, "parent_id").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")))
 
 
 def file_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -162,9 +163,11 @@ def symbol_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _files(spark, d, "sha256").select("id", "sha256")
-    found = changes.compare(parsed, _map(spark, d, "sha256").select("id", F.lower("sha256").alias("sha256")).join(parsed.select("id"), "id", "left_semi"), ["id"], ["sha256"])
-    return found.select("id", "change")
+    """What the current files differ in from their rows of before 2026."""
+    fields = ["path", "sha256", "language", "parser_id", "state", "commit_id"]
+    rows = table(spark, d, "files").where("updated_at is null or updated_at < '2026-01-01T00:00:00Z'")
+    found = changes.compare(latest_per_key(rows, ["id"], ["updated_at"], fields), _files(spark, d, *fields), ["id"], fields)
+    return found.select("id", "change", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
 def map_renames(spark: SparkSession, d: str) -> DataFrame:

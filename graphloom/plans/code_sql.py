@@ -27,6 +27,13 @@ def _reach(seeds: str, here: str, there: str) -> str:
 _ALL = " UNION ALL ".join(f"SELECT id, {k} AS distance FROM l{k}" for k in range(4))
 
 
+_VERSIONED = ["parent_id", "file_id", "name", "qualified_name", "start_line", "end_line", "signature", "body_sha", "degree"]
+
+
+def _differing(fields: list[str], a: str, b: str) -> str:
+    return ", ".join(f"CASE WHEN {a}.{c} IS DISTINCT FROM {b}.{c} THEN '{c}' END" for c in fields)
+
+
 def _case(pairs: dict[str, str], value: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " END"
 
@@ -76,7 +83,20 @@ SELECT file_id, min(start_line) AS start_line, max(end_line) AS end_line FROM r
 top AS (SELECT file_id, max(end_line) AS high FROM n WHERE file_id IS NOT NULL GROUP BY file_id),
 g AS (SELECT file_id, coalesce(reach + 1, 1) AS gap_start, start_line - 1 AS gap_end FROM s WHERE start_line > coalesce(reach + 1, 1) UNION ALL SELECT s.file_id, max(s.end_line) + 1, high FROM s JOIN top USING (file_id) GROUP BY s.file_id, high)
 SELECT * FROM g WHERE gap_start <= gap_end""",
-    "file_mismatch": f"WITH {_F}, {_M} SELECT f.id, CASE WHEN m.id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM f LEFT JOIN m ON m.id = f.id WHERE m.id IS NULL OR f.sha256 IS DISTINCT FROM lower(m.sha256)",
+    "file_mismatch": f"""WITH {_F}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM files WHERE updated_at IS NULL OR updated_at < '2026-01-01T00:00:00Z') WHERE rn = 1),
+x AS (SELECT coalesce(o.id, f.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN f.id IS NULL THEN 'deleted' ELSE 'modified' END AS change, CASE WHEN o.id IS NULL OR f.id IS NULL THEN '' ELSE concat_ws(',', {_differing(["commit_id", "language", "parser_id", "path", "sha256", "state"], "o", "f")}) END AS changed_fields FROM o FULL JOIN f ON f.id = o.id)
+SELECT * FROM x WHERE change <> 'modified' OR changed_fields <> ''""",
+    "symbol_versions": f"""WITH x AS (SELECT DISTINCT id, updated_at, {', '.join(_VERSIONED)} FROM nodes),
+y AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY id) AS n FROM x WINDOW w AS (PARTITION BY id ORDER BY updated_at NULLS FIRST, {', '.join(f'{c} NULLS FIRST' for c in _VERSIONED)}))
+SELECT a.id, a.n AS n_versions, concat_ws(',', {_differing(sorted(_VERSIONED), "a", "b")}) AS changed_fields FROM y a JOIN y b ON b.id IS NOT DISTINCT FROM a.id AND a.k = 1 AND b.k = b.n WHERE a.n > 1""",
+    "containment_left": f"""WITH RECURSIVE {_N}, w AS (SELECT id AS own, parent_id AS up, 1 AS k FROM n WHERE parent_id IN (SELECT id FROM n) UNION ALL SELECT w.own, n.parent_id, w.k + 1 FROM w JOIN n ON n.id = w.up WHERE w.up <> w.own AND w.k < 2000)
+SELECT n.parent_id AS src, n.id AS dst FROM n WHERE n.id IN (SELECT own FROM w WHERE up = own)""",
+    "call_circles": f"""WITH RECURSIVE {_E}, {_C}, g AS (SELECT DISTINCT src, dst FROM c WHERE NOT starts_with(dst, 'name:')), r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b)
+SELECT x.a AS id, min(y.a) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
+    "call_components": f"""WITH RECURSIVE {_E}, {_C}, u AS (SELECT src AS a, dst AS b FROM c WHERE NOT starts_with(dst, 'name:') AND src <> dst UNION SELECT dst, src FROM c WHERE NOT starts_with(dst, 'name:') AND src <> dst),
+ids AS (SELECT id FROM nodes WHERE id IS NOT NULL UNION SELECT a FROM u),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM ids UNION SELECT u.b, min(cc.component) FROM cc JOIN u ON u.a = cc.id JOIN recurring.cc r ON r.id = u.b WHERE cc.component < r.component GROUP BY u.b)
+SELECT id, component FROM cc""",
     "map_renames": f"""WITH {_M}, last AS (SELECT project_id, max(revision) AS revision FROM snapshot_history GROUP BY project_id),
 docs AS (SELECT DISTINCT project_id, unnest(from_json(json_extract(document, '$.sources'), '[{{"path":"VARCHAR","sha256":"VARCHAR"}}]')) AS s FROM snapshot_history JOIN last USING (project_id, revision)),
 old AS (SELECT project_id, nfc_normalize(regexp_replace(replace(s.path, '\\', '/'), '^(\\./+)+', '')) AS path, max(lower(s.sha256)) AS sha FROM docs GROUP BY ALL),

@@ -41,6 +41,15 @@ def test_components(spark, monkeypatch, small):
     weak = {x: min(r[x] | {x}) for x in r if len(r[x] - {x})}
     got = {x["id"]: x["component"] for x in graph.components(edges_of(spark, pairs)).collect()}
     assert got == weak
+    from collections import Counter
+
+    left = {p for p in pairs if None not in p}
+    while True:
+        kept = {(a, b) for a, b in left if any(y == a for _, y in left) and any(x == b for x, _ in left)}
+        if kept == left:
+            break
+        left = kept
+    assert Counter(tuple(r) for r in graph.peeled(edges_of(spark, pairs)).collect()) == Counter(left)
     r = reach(pairs)
     strong = {x: min({y for y in r[x] if x in r[y]} | {x}) for x in r if x in r[x]}
     got = {x["id"]: x["component"] for x in graph.strong_components(edges_of(spark, pairs)).collect()}
