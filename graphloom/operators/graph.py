@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import hinted, materialize, weight
+from graphloom.session import hinted, materialize, small, weight
 
 #: Distinct edges that one task may hold to finish a search for components.
 TASK_EDGES = 500_000
@@ -48,31 +48,45 @@ def bounded_search(edges: DataFrame, roots: DataFrame, depth: int = 3, forward:
     if limit is not None and not 1 <= limit <= 500:
         raise ValueError("limit must be from 1 to 500")
     here, there = ("src", "dst") if forward else ("dst", "src")
+    once = once or (lambda rows: rows)
     frontier = materialize(roots.where("id is not null").select("id").distinct(), measured=True)
     visited = frontier.withColumn("distance", F.lit(0))
-    walked, taken, truncated = None, 0, False
+    if limit is not None:
+        return _limited_search(edges, frontier, visited, depth, here, there, once, limit)
+    expanded, few = visited, small(frontier)
     for level in range(1, depth + 1):
         if not weight(frontier)[0]:
             break
-        step = edges.join(hinted(frontier).withColumnRenamed("id", here), here, "left_semi").select(*edges.columns)
-        step = step if once is None else once(step)
-        if limit is not None:
-            order = [here, there, *(c for c in step.columns if c not in (here, there))]
-            step = materialize(step.orderBy(*order).limit(limit - taken + 1), measured=True)
-            n = weight(step)[0]
-            truncated = n > limit - taken
-            step = step.orderBy(*order).limit(limit - taken)
-            taken += min(n, limit - taken)
-        step = materialize(step.withColumn("level", F.lit(level)))
-        walked = step if walked is None else walked.unionByName(step)
-        frontier = step.where(F.col(there).isNotNull()).select(F.col(there).alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
-        if level < depth and not truncated:  # the last one is made only where nodes are asked for
+        ends = edges.join(hinted(frontier).withColumnRenamed("id", here), here, "left_semi").where(F.col(there).isNotNull())
+        frontier = ends.select(F.col(there).alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+        if level < depth:  # the last one isn't expanded; it is made only where nodes are asked for
             frontier = materialize(frontier, measured=True)
+            few &= small(frontier)
         visited = visited.unionByName(frontier.withColumn("distance", F.lit(level)))
-        if truncated:
+        expanded = visited if level < depth else expanded
+    # every node is expanded once, so one pass over the edges gives all that were walked
+    side = expanded.select(F.col("id").alias(here), (F.col("distance") + 1).alias("level"))
+    walked = once(edges.join(F.broadcast(side.select(here)) if few else side.select(here), here, "left_semi").select(*edges.columns))
+    return Search(visited, walked.join(F.broadcast(side) if few else side, here).select(*walked.columns, "level"), False)
+
+
+def _limited_search(edges: DataFrame, frontier: DataFrame, visited: DataFrame, depth: int, here: str, there: str, once: Callable[[DataFrame], DataFrame], limit: int) -> Search:
+    """At most `limit` edges are walked, so all that is kept of a level is small."""
+    walked, taken, truncated = once(edges).withColumn("level", F.lit(0)).limit(0), 0, False
+    for level in range(1, depth + 1):
+        if truncated or not weight(frontier)[0]:
             break
-    if walked is None:
-        walked = (edges if once is None else once(edges)).withColumn("level", F.lit(0)).limit(0)
+        step = once(edges.join(hinted(frontier).withColumnRenamed("id", here), here, "left_semi").select(*edges.columns))
+        order = [here, there, *(c for c in step.columns if c not in (here, there))]
+        step = materialize(step.orderBy(*order).limit(limit - taken + 1), measured=True)
+        n = weight(step)[0]
+        truncated = n > limit - taken
+        step = materialize(step.orderBy(*order).limit(limit - taken).withColumn("level", F.lit(level)))
+        taken += min(n, limit - taken)
+        walked = step if level == 1 else walked.unionByName(step)
+        fresh = step.where(F.col(there).isNotNull()).select(F.col(there).alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+        frontier = materialize(fresh, measured=True)
+        visited = visited.unionByName(frontier.withColumn("distance", F.lit(level)))
     return Search(visited, walked, truncated)
 
 
