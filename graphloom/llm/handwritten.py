@@ -53,6 +53,7 @@ HEADERS = re.compile(
 
 _DIGITS = bytes(48 if 48 <= i < 58 else i for i in range(256))
 _COMMENT = re.compile(r"(//|/\*|\*|#(?!include|!|pragma|if|define|endif)|--)")
+_NAMES = re.compile(r"[^\W\d]\w*|\d[\w.]*")
 _WORDS = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\s\w]")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*(?:\"|\\?\Z)|'(?:[^'\\\n]|\\.)*(?:'|\\?\Z)|`(?:[^`\\]|\\.)*`")
 _NOTES = re.compile(r"/\*.*?\*/|\"\"\".*?\"\"\"|(?m:^[ \t]*(?://|#(?!include|define|pragma|if|endif)|--)[^\n]*)|[ \t]//[^\n]*", re.S)
@@ -108,18 +109,26 @@ def layout(code: str) -> str | None:
     """`data` if a text without comments is hardly more than literals, `packed` if it was made to have few lines."""
     if not code.strip():
         return None
-    bare = _STRING.sub(" 0 ", code)
-    words = [w for w in _WORDS.findall(bare) if w[0].isalnum() or w[0] == "_"]
+    holes = _STRING.sub("\0", code)
+    strings = holes.count("\0")
+    words = _NAMES.findall(holes)
     names = sum(not w[0].isdigit() for w in words)
-    literal = len(code) - len(_STRING.sub("", code)) + sum(len(w) for w in words if w[0].isdigit())
-    if len(code) > 150 and literal > 0.3 * len(code) and (len(words) and names <= max(4, 0.12 * len(words)) or names <= 8 and literal > 0.7 * len(code)):
+    literal = len(code) - len(holes) + strings + sum(len(w) for w in words if w[0].isdigit()) + strings
+    if len(code) > 150 and literal > 0.3 * len(code) and (len(words) + strings and names <= max(4, 0.12 * (len(words) + strings)) or names <= 8 and literal > 0.7 * len(code)):
         return "data"
+    bare = holes.replace("\0", " 0 ")
     long = sum(len(x) for x in bare.split("\n") if len(x) > 250)
-    if long > 0.6 * len(bare) and len(re.findall(r"[{}()\[\];=]", bare)) > 0.06 * len(bare):
+    if long > 0.6 * len(bare) and sum(map(bare.count, "{}()[];=")) > 0.06 * len(bare):
         return "packed"
     return None
 
 
+def has_code(text: str) -> bool:
+    """Whether a text has more than blanks and notes."""
+    start = text.lstrip()[:1]
+    return bool(start) and (start not in "/#-\"" or bool(_NOTES.sub("", text).strip()))
+
+
 def prose(text: str) -> bool:
     """Whether a text hardly has the marks, quotes and digits of code or data; such a text is no code to be judged."""
     return sum(map(text.count, '{}()[];="`')) < 0.015 * len(text) and sum(map(text.count, "0123456789")) < 0.12 * len(text)
@@ -362,7 +371,7 @@ def find_not_handwritten(sample_map: DataFrame, texts: DataFrame, upstream: Data
             rows = []
             for content in batch["content"]:
                 edge, code = edge_comments(content)
-                bare = bool(_NOTES.sub("", code).strip())
+                bare = has_code(code)
                 a = text.score(ngrams(code)) if bare and not prose(code) else float("-inf")
                 b = notes.score(ngrams("\n".join(edge))) if edge else float("-inf")
                 rows.append(("notes" if b >= notes.sure else "text" if a >= text.sure else None, a >= text.likely or not bare, b >= notes.likely))
