@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from graphloom.session import hinted, materialize, small, weight
 
 #: Distinct edges that one task may hold to finish a search for components.
 TASK_EDGES = 500_000
+#: Distinct edges between numbered nodes (16 bytes each) that one task may hold for the same.
+TASK_PAIRS = 8_000_000
 
 
 def distinct_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -154,7 +158,8 @@ def _strongly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if x == node:
                             break
                     if len(members) > 1:
-                        found += [(x, min(members)) for x in members]
+                        least = min(members)
+                        found += [(x, least) for x in members]
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], ["id", "component"])
 
 
@@ -228,46 +233,150 @@ def peeled(edges: DataFrame) -> DataFrame:
     return materialize(rest.coalesce(1).mapInArrow(_peel, "src string, dst string")) if n else rest
 
 
+def _strongly_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _strongly, of edges (a, b) between numbered nodes: (n, c), c being a number of the component. All is kept in flat
+    arrays; the search takes time linear in the edges."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    src, dst = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
+    del parts
+    names = np.unique(np.concatenate([src, dst]))
+    src, dst = (np.searchsorted(names, x).astype(np.int32) for x in (src, dst))
+    n, before = len(names), np.inf
+    while len(src) < 0.99 * before:  # ends that lie on no circle go first, as long as that thins the edges
+        before = len(src)
+        into, out = np.zeros(n, bool), np.zeros(n, bool)
+        into[dst], out[src] = True, True
+        keep = into[src] & out[dst]
+        src, dst = src[keep], dst[keep]
+
+    def flat(x: np.ndarray) -> array:
+        return array("i", x.astype(np.int32).tobytes())
+
+    to = flat(dst[np.argsort(src, kind="stable")])
+    last = np.cumsum(np.bincount(src, minlength=n))
+    at, end = flat(np.concatenate([[0], last[:-1]]) if n else last), flat(last)
+    del src, dst, last
+    low, part = flat(np.zeros(n)), flat(np.full(n, -1))  # 0: not seen; -1: in no component yet
+    path: list[int] = []
+    count = 0
+    for first in range(n):
+        if low[first] or at[first] == end[first]:
+            continue
+        count += 1
+        low[first] = count
+        path.append(first)
+        work, number = [first], [count]
+        while work:
+            x = work[-1]
+            i = at[x]
+            if i < end[x]:
+                at[x] = i + 1
+                y = to[i]
+                if not low[y]:
+                    count += 1
+                    low[y] = count
+                    path.append(y)
+                    work.append(y)
+                    number.append(count)
+                elif part[y] < 0 and low[y] < low[x]:
+                    low[x] = low[y]
+                continue
+            work.pop()
+            if work and low[x] < low[work[-1]]:
+                low[work[-1]] = low[x]
+            if low[x] == number.pop():
+                while (y := path.pop()) != x:
+                    part[y] = x
+                part[x] = x
+    of = np.frombuffer(part, np.int32)
+    members = np.flatnonzero(of >= 0)
+    members = members[np.bincount(of[members], minlength=n)[of[members]] > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(names[members]), pa.array(names[of[members]])], ["n", "c"])
+
+
+def _thinned(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, written) as peeled would leave them, but only as long as a round takes away a tenth; no circle is touched."""
+    n = weight(pairs)[0]
+    while n > TASK_PAIRS:
+        kept = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        pairs = materialize(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), measured=True)
+        before, n = n, weight(pairs)[0]
+        if n > 0.9 * before:
+            break
+    return pairs
+
+
+def _reached(links: DataFrame, found: DataFrame) -> DataFrame:
+    """found (n, c, written) and all that is reached from there along links (a, b, c) of the same c."""
+    front = found
+    while True:
+        step = links.join(hinted(front).withColumnRenamed("n", "a"), ["a", "c"]).select(F.col("b").alias("n"), "c").distinct()
+        front = materialize(step.join(found, ["n", "c"], "left_anti"), measured=True)
+        if not weight(front)[0]:
+            return found
+        found = materialize(found.unionByName(front))
+
+
+def _strong_at_pivot(pairs: DataFrame) -> DataFrame:
+    """(n, c) of the component of the node with most ways through it (in- times out-edges), which is where one component
+    holds most of a graph."""
+    ways = pairs.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("x")).join(pairs.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("y")), "n")
+    pivot = materialize(ways.orderBy(F.desc(F.col("x") * F.col("y")), "n").limit(1).select("n", F.col("n").alias("c")), measured=True)
+    links = pairs.crossJoin(F.broadcast(pivot.select("c")))
+    after = _reached(links, pivot)
+    before = _reached(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"), pivot)
+    return materialize(after.join(before, ["n", "c"]).select("n", "c"))
+
+
+def _strong_by_color(pairs: DataFrame) -> DataFrame:
+    """(n, c) of one component of every colour: each node takes the least number that reaches it, c; those of its colour that
+    reach the node c form a component. Both searches are joins over all pairs; one round handles all colours at once."""
+    color = materialize(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().select("n", F.col("n").alias("c")))
+    while True:
+        sent = pairs.join(color.withColumnRenamed("n", "a"), "a").groupBy("b").agg(F.min("c").alias("m"))
+        new = materialize(color.join(sent.withColumnRenamed("b", "n"), "n", "left").select("n", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("_moved")))
+        color = new.select("n", "c")
+        if new.where("_moved").isEmpty():
+            break
+    inner = pairs.join(color.withColumnRenamed("n", "a"), "a").join(color.select(F.col("n").alias("b"), F.col("c").alias("_c")), "b").where("c = _c")
+    return _reached(materialize(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "c")), materialize(color.where("n = c"), measured=True))
+
+
+def _strong_by_number(edges: DataFrame) -> DataFrame:
+    """As _strongly, of any number of distinct edges (src, dst, written). Nodes are numbered, so that one task can hold far
+    more edges. Beyond TASK_PAIRS the component at a pivot is taken out first, then, round by round, one of each colour."""
+    ids = materialize(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("n")))
+    pairs = edges.join(ids.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    pairs = _thinned(materialize(pairs.select("a", "b"), measured=True))
+    done, found = ids.select("n", F.col("n").alias("c")).limit(0), None
+    while n := weight(pairs)[0]:
+        if n <= TASK_PAIRS:
+            done = done.unionByName(materialize(pairs.coalesce(1).mapInArrow(_strongly_numbered, "n long, c long")))
+            break
+        found = _strong_by_color(pairs) if found is not None else _strong_at_pivot(pairs)
+        done = done.unionByName(found)
+        rest = pairs.join(found.select(F.col("n").alias("a")), "a", "left_anti").join(found.select(F.col("n").alias("b")), "b", "left_anti")
+        pairs = _thinned(materialize(rest.select("a", "b"), measured=True))
+    members = materialize(done.join(ids, "n").select("id", "c"))
+    named = members.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("k")).where("k > 1")
+    return members.join(named, "c").select("id", "component")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of all nodes on circles: strongly connected components of two nodes or more, and self-loops as
     components of one, named by their least id.
 
-    After peeling, every round gives each node the least id that reaches it; nodes that the node named so also reaches
-    (searched against the edges within its colour) form its component and are taken out. Both searches are joins over the
-    whole remaining graph, one round handles all colours at once. Up to TASK_EDGES edges that are left, one task finishes.
+    One depth-first search finds them, in one task: on the edges as they are up to TASK_EDGES, on numbered nodes up to
+    TASK_PAIRS. Beyond that searches by joins take components out until no more edges are left than one task may hold.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    done = loops.select("id", F.col("id").alias("component"), F.lit(True).alias("_loop")).limit(0)
-    rest = peeled(edges.where("src <> dst"))
-    while n := rest.count():
-        if n <= TASK_EDGES:
-            done = materialize(done.unionByName(rest.coalesce(1).mapInArrow(_strongly, "id string, component string").withColumn("_loop", F.lit(False))))
-            break
-        ids = rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct()
-        color = materialize(ids.select("id", F.col("id").alias("c")))
-        while True:  # least id that reaches a node
-            sent = rest.join(color.select(F.col("id").alias("src"), "c"), "src").groupBy("dst").agg(F.min("c").alias("m"))
-            new = materialize(color.join(sent.select(F.col("dst").alias("id"), "m"), "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("_moved")))
-            color = new.select("id", "c")
-            if new.where("_moved").isEmpty():
-                break
-        inner = rest.join(color.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(color.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
-        inner = materialize(inner)
-        found = materialize(color.where("id = c"))
-        front = found
-        while True:  # nodes of a colour that reach the one it is named by
-            step = inner.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            front = materialize(step.join(found, ["id", "c"], "left_anti"))
-            if front.isEmpty():
-                break
-            found = materialize(found.unionByName(front))
-        sizes = found.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
-        done = materialize(done.unionByName(found.join(sizes, "c").select("id", F.col("c").alias("component"), F.lit(False).alias("_loop"))))
-        out = found.select("id")
-        rest = rest.join(out.select(F.col("id").alias("src")), "src", "left_anti").join(out.select(F.col("id").alias("dst")), "dst", "left_anti")
-        rest = peeled(rest)
+    rest = materialize(edges.where("src <> dst").select("src", "dst").distinct(), measured=True)
+    if weight(rest)[0] <= TASK_EDGES:
+        done = materialize(rest.coalesce(1).mapInArrow(_strongly, "id string, component string"))
+    else:
+        done = materialize(_strong_by_number(rest))
     alone = loops.join(done.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
-    return done.select("id", "component").unionByName(alone)
+    return done.unionByName(alone)
 
 
 def shape(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def call_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_circles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strong_components(_calls(spark, d))
+    return graph.strong_components(_call_rows(spark, d))
 
 
 def containment_left(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Graph, interval, ordered, text, change and resolution operators on small data against brute force."""
 
 import random
+import time
 
+import pyarrow as pa
 import pytest
 
 from graphloom.functions import paths
@@ -56,6 +58,47 @@ def test_components(spark, monkeypatch, small):
     assert got == strong
 
 
+@pytest.mark.parametrize("task_pairs", [10**6, 10, 0])
+def test_strong_components_by_number(spark, monkeypatch, task_pairs):
+    """Beyond TASK_EDGES one task holds numbered nodes; beyond TASK_PAIRS joins find a pivot's component, then colours."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    monkeypatch.setattr(graph, "TASK_PAIRS", task_pairs)
+    rng = random.Random(7)
+    ring = [f"r{i}" for i in range(6)]
+    pairs = [(f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}") for _ in range(45)] + list(zip(ring, ring[1:] + ring[:1])) + [("r0", "n00"), ("n01", "t0"), ("t0", "t1"), ("t1", "t1"), ("r1", "r1"), ("u", "v"), ("v", "u"), (None, "u"), ("u", None)]
+    pairs += rng.sample(pairs, 10)
+    r = reach(pairs)
+    strong = {x: min({y for y in r[x] if x in r[y]} | {x}) for x in r if x in r[x]}
+    got = [tuple(x) for x in graph.strong_components(edges_of(spark, pairs)).collect()]
+    assert len(got) == len(strong) and dict(got) == strong
+
+
+def test_strong_components_of_a_long_ring(spark, monkeypatch):
+    """The work beyond TASK_EDGES doesn't grow with the length of a circle: joins needed a round for each of its nodes."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    written, materialize = [], graph.materialize
+
+    def counted(*args, **kwargs):
+        written.append(1)
+        assert len(written) < 20, "too many rounds"
+        return materialize(*args, **kwargs)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    pairs = [(f"n{i:03d}", f"n{(i + 1) % 300:03d}") for i in range(300)] + [("n007", f"tail{i}") for i in range(3)]
+    got = {x["id"]: x["component"] for x in graph.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == {f"n{i:03d}": "n000" for i in range(300)}
+    assert graph.strong_components(edges_of(spark, [("a", "b"), ("b", "c")])).count() == 0
+
+
+def test_large_component_is_named_once():
+    """The least id of a component is sought once, not once for each of its nodes."""
+    ids = [f"n{i:05d}" for i in range(60_000)]
+    began = time.process_time()
+    (got,) = graph._strongly(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[1:] + ids[:1])], ["src", "dst"])]))
+    assert time.process_time() - began < 10
+    assert got.num_rows == 60_000 and set(got.column(1).to_pylist()) == {"n00000"}
+
+
 def test_search_shape_rollup(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "name:x"), ("a", "b")]
     e = edges_of(spark, pairs)
