@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm import bpe, handwritten, mojibake, packing, quantiles
+from graphloom.llm import bpe, handwritten, mojibake, packing, quantiles, queries
 from graphloom.llm.syntax import files as syntax
 from graphloom.llm.syntax.chart import Chart, Grammar
 
@@ -392,6 +392,18 @@ def test_invalid_files(spark):
     assert syntax.invalid_files(cur.limit(0), texts).count() == 0
 
 
+def test_found_by_cost_of_repair(spark, monkeypatch, tmp_path):
+    """p2_found's rows come from the repair: they are p2_damage's, each with a cost, and one whose repair costs nothing is none."""
+    files = [("f1", "p", "a.py", "h1", "x"), ("f2", "p", "b.js", "h1", "x"), ("f3", "q", "c.py", "h2", "x"), ("f4", "q", "d.py", "h2", "x")]
+    spark.createDataFrame(files, "id string, project_id string, path string, sha256 string, updated_at string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([("h1", "def f():\n    pass\n"), ("h2", "def f(:\n")], "sha256 string, content string").write.parquet(f"{tmp_path}/source_texts.parquet")
+    costs = {r["file_id"]: r["cost"] for r in queries.p2_damage(spark, str(tmp_path)).collect()}
+    assert {r["file_id"] for r in queries.p2_found(spark, str(tmp_path)).collect()} == set(costs) == {"f2", "f3", "f4"} and min(costs.values()) > 0
+    invalid_files = syntax.invalid_files
+    monkeypatch.setattr(syntax, "invalid_files", lambda *a, **k: invalid_files(*a, **k).selectExpr("* except (cost)", "if(id = 'f3', 0, cost) as cost"))
+    assert {r["file_id"] for r in queries.p2_found(spark, str(tmp_path)).collect()} == {"f2", "f4"}
+
+
 # ------------------------------------------------------------------ hand-written source
 
 
